@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, pieces
-from .common import crc_of_id, table
+from . import langid, minhash, pieces
+from .common import Scratch, crc_of_id, table
 
 
 def _path(name: str) -> str:
@@ -29,8 +29,12 @@ def op3_language_id(spark, sf_dir):
     return langid.predict(rows, model, id_column="key").select("key.doc_id", "key.held_out", "lang_pred", "score")
 
 
+def op10_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "minhash"), width=3, hundredths=85)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
