@@ -93,7 +93,7 @@ def split_unique(texts: pa.Array, gap: str | None = None) -> tuple[list[str], np
     split = pc.ascii_split_whitespace(texts) if gap is None else pc.split_pattern(texts, gap)
     counts = np.diff(split.offsets.to_numpy()).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    index, unique = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    index, unique = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if gap is None and "" in unique:
         empty = index == unique.index("")
         upto = np.r_[0, np.cumsum(empty)]

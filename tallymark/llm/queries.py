@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, minhash, pieces
+from . import langid, maincontent, minhash, pieces, pivots, sharding
 from .common import Scratch, crc_of_id, table
 
 
@@ -29,12 +29,28 @@ def op3_language_id(spark, sf_dir):
     return langid.predict(rows, model, id_column="key").select("key.doc_id", "key.held_out", "lang_pred", "score")
 
 
+def op4_sharding(spark, sf_dir):
+    placed = sharding.assign(table(spark, sf_dir, "documents"), Scratch(spark, "sharding"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select(F.struct("page_id", "url").alias("key"), "html")
+    texts = maincontent.main_text(rows, maincontent.fit(pages), id_column="key")
+    return texts.select("key.page_id", "key.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_embedding_dedup(spark, sf_dir):
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "pivots"))
+
+
 def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "minhash"), width=3, hundredths=85)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op10_minhash)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op7_embedding_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
