@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, maincontent, minhash, pieces, pivots, sharding
+from . import chat, langid, maincontent, minhash, pieces, pivots, sharding
 from .common import Scratch, crc_of_id, table
 
 
@@ -17,6 +17,25 @@ def _path(name: str) -> str:
 MODEL = "piece_bpe_32k.model"
 
 
+def op1_chat_format(spark, sf_dir):
+    import public_tokenizers
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema))
+    scratch, words = Scratch(spark, "chat"), (_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    back = chat.read_back(*chat.build(rows, scratch, *words), scratch, *words)
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(joined.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op2_sentencepiece(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), _path(MODEL))
 
@@ -50,7 +69,7 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op7_embedding_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op7_embedding_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
