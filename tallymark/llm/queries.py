@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, maincontent, minhash, pieces, pivots, sharding
+from . import chat, decontam, langid, maincontent, minhash, pieces, pivots, sharding
 from .common import Scratch, crc_of_id, table
 
 
@@ -64,12 +64,16 @@ def op7_embedding_dedup(spark, sf_dir):
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "pivots"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "minhash"), width=3, hundredths=85)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op7_embedding_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op7_embedding_dedup, op9_decontamination, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
