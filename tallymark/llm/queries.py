@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, maincontent, minhash, pieces, pivots, sharding
+from . import chat, decontam, langid, lm, maincontent, minhash, pieces, pivots, sharding
 from .common import Scratch, crc_of_id, table
 
 
@@ -64,6 +64,15 @@ def op7_embedding_dedup(spark, sf_dir):
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "pivots"))
 
 
+def op8_lm_scoring(spark, sf_dir):
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "lm")
+    held_out = F.pmod(crc_of_id(), F.lit(5)) == 1
+    model, counts = lm.fit(docs, ~held_out, _path(MODEL), scratch)
+    rows = docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("key"), "text")
+    scored = lm.score(rows, model, counts, scratch, id_column="key")
+    return scored.select("key.doc_id", "key.held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_decontamination(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,7 +82,7 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op7_embedding_dedup, op9_decontamination, op10_minhash)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op7_embedding_dedup, op8_lm_scoring, op9_decontamination, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
