@@ -1,18 +1,48 @@
-"""The training-data pipeline: each stage's output is written as Parquet and read again by the next."""
+"""The training-data pipeline: each stage's output is written as Parquet and read again by the next.
+
+Rows that share a doc_id are one document. Nulls: a null text has no language and goes in the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallymark.llm import decontam, langid, minhash, pieces
+from tallymark.llm.common import Scratch, table
+from tallymark.llm.queries import MODEL, vocabulary
 
 #: No stage is expressible in SQL; the tests hold the pipeline against plain versions of its stages.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallymark.llm.common import Scratch, table
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which no language is identified."""
+    model = langid.fit(docs, F.lit(True), pieces.codec(vocabulary(MODEL)).pieces)
+    return langid.identified(docs, model)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one with the smallest id, of each group of near copies (five words, 0.8)."""
+    groups = minhash.near_duplicates(docs, Scratch(spark, "pipeline"))
+    return docs.join(groups.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark item stands."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, count of ids and digests of ids and decoded text."""
+    return pieces.digests(docs, vocabulary(MODEL))
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("sentencepiece", sentencepiece)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "stages"), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

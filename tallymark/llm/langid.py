@@ -253,3 +253,15 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id",
 def uniform_entropy(model: LanguageModel) -> float:
     """Bits per piece if all pieces were alike; a yardstick for tests."""
     return math.log2(max(2, model.prob.shape[0] - 1))
+
+
+def identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, whose language is found with a score of at least `least`. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            lang, score = shared.value.predict(b.column("text"))
+            yield b.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

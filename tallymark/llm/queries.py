@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm, maincontent, minhash, pieces, pivots, sharding
+from . import chat, decontam, langid, licenses, lm, maincontent, minhash, pieces, pivots, sharding
 from .common import Scratch, crc_of_id, table
 
 
-def _path(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -23,7 +24,7 @@ def op1_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema))
-    scratch, words = Scratch(spark, "chat"), (_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    scratch, words = Scratch(spark, "chat"), (vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     back = chat.read_back(*chat.build(rows, scratch, *words), scratch, *words)
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -37,13 +38,13 @@ def op1_chat_format(spark, sf_dir):
 
 
 def op2_sentencepiece(spark, sf_dir):
-    return pieces.digests(table(spark, sf_dir, "documents"), _path(MODEL))
+    return pieces.digests(table(spark, sf_dir, "documents"), vocabulary(MODEL))
 
 
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(crc_of_id(), F.lit(4)) == 2
-    model = langid.fit(docs, ~held_out, pieces.codec(_path(MODEL)).pieces)
+    model = langid.fit(docs, ~held_out, pieces.codec(vocabulary(MODEL)).pieces)
     rows = docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("key"), "text")
     return langid.predict(rows, model, id_column="key").select("key.doc_id", "key.held_out", "lang_pred", "score")
 
@@ -60,6 +61,10 @@ def op5_html_extraction(spark, sf_dir):
     return texts.select("key.page_id", "key.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark, sf_dir):
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "pivots"))
 
@@ -67,7 +72,7 @@ def op7_embedding_dedup(spark, sf_dir):
 def op8_lm_scoring(spark, sf_dir):
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "lm")
     held_out = F.pmod(crc_of_id(), F.lit(5)) == 1
-    model, counts = lm.fit(docs, ~held_out, _path(MODEL), scratch)
+    model, counts = lm.fit(docs, ~held_out, vocabulary(MODEL), scratch)
     rows = docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("key"), "text")
     scored = lm.score(rows, model, counts, scratch, id_column="key")
     return scored.select("key.doc_id", "key.held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
@@ -82,7 +87,7 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op7_embedding_dedup, op8_lm_scoring, op9_decontamination, op10_minhash)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op6_license_scan, op7_embedding_dedup, op8_lm_scoring, op9_decontamination, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
