@@ -34,7 +34,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+    def keep(self, df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+        """Writes df and reads it again; `files` bounds the tasks that write a table known to be small."""
+        if files:
+            df = df.coalesce(files)
         path = f"{self.root}/{tag}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)

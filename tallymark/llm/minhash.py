@@ -36,6 +36,8 @@ BANDS = HASHES // ROWS
 MARGIN = 0.17
 #: Members of a block that are compared with another block at once.
 BLOCK = 512
+#: A hub's partners are dealt over so many blocks; its set goes to each block once.
+HUB_BLOCKS = 64
 #: Bits of the filter that spares unneeded rows their sets: 2 MB, whatever the corpus. A full filter only spares fewer.
 FILTER_BITS = 1 << 24
 
@@ -181,10 +183,10 @@ class Limit:
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, limit: Limit, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that link on full sets. A hub's partners are dealt over blocks, and its set goes to each block."""
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = scratch.keep(_full_sets(docs, ids, width).join(ids, "id", "left_semi"), "sets")
-    many = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).alias("blocks")), "many")
-    dealt = scratch.keep(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "dealt")
+    files = max(16, pairs.count() // 2_000)
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", files)
+    sets = scratch.keep(_full_sets(docs, ids, width).join(ids, "id", "left_semi"), "sets", 4 * files)
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(HUB_BLOCKS)).alias("block"))
     left = dealt.select("a", "block").distinct().join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     right = dealt.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     h = limit.hundredths
@@ -200,8 +202,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, limit: Limit, scratc
                     keep[i] = 100 * both >= h * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
-    links = scratch.keep(left.join(right, ["a", "block"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "links")
-    scratch.drop(ids, sets, many, dealt)
+    links = scratch.keep(left.join(right, ["a", "block"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "links", 4 * files)
+    scratch.drop(ids, sets)
     return links
 
 
@@ -271,7 +273,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, width: int = 5, hundre
     stars = buckets.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     tried = scratch.keep(_near(stars, classes, limit), "pairs")
     links = _confirm(tried, docs, width, limit, scratch)
-    labels, most = scratch.keep(components(links, scratch), "labels"), 64
+    labels, most = components(links, scratch), 256
     while True:
         rest = _rest(buckets, labels.select(F.col("id").alias("rep"), "component"), scratch, limit, most)
         fresh = scratch.keep(rest.where("b is not null").join(tried, ["a", "b"], "left_anti"), "fresh")
@@ -279,8 +281,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, width: int = 5, hundre
         if fresh.limit(1).count():
             more = _confirm(fresh, docs, width, limit, scratch)
             if more.limit(1).count():
-                links = scratch.keep(links.unionByName(more), "links")
-                labels = scratch.keep(components(links, scratch), "labels")
+                links = links.unionByName(more)
+                labels = components(links, scratch)
         if not cut:  # every pair of different components was tried
             break
         tried, most = scratch.keep(tried.unionByName(fresh), "pairs"), most * 8
