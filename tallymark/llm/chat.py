@@ -34,6 +34,7 @@ from .common import Scratch
 
 # fixed values: the strings that the template and common chat templates use as control strings
 CONTROL = r"<\|turn:|\|>|</?s>|\[/?INST\]|<</?SYS>>"
+DIGITS = 32  # of a history's hash; a path's last DIGITS are its node's key
 HEAD, MID, END = "<|turn:", "|>", "</s>"
 _ESCAPE = re.compile(rf"(\\*)({CONTROL}|\Z)")
 _REAL = re.compile(rf"(\\*)({CONTROL})")
@@ -80,7 +81,7 @@ def _turns(rows: DataFrame) -> DataFrame:
             for conv, turns in zip(b.column("conv_id").to_pylist(), b.column("turns").to_pylist(), strict=True):
                 path = before = ""
                 for k, t in enumerate(turns):
-                    before = xxhash.xxh3_64_hexdigest(f"{before}{len(t['role'])}:{t['role']}{t['text']}")
+                    before = xxhash.xxh3_128_hexdigest(f"{before}{len(t['role'])}:{t['role']}{t['text']}")
                     path += before
                     for name, x in zip(out, (conv, len(turns), k == len(turns) - 1, path, t["role"], t["text"]), strict=True):
                         out[name].append(x)
@@ -92,9 +93,9 @@ def _turns(rows: DataFrame) -> DataFrame:
 def build(conversations: DataFrame, scratch: Scratch, vocabulary: str, pattern: str) -> tuple[DataFrame, DataFrame]:
     """The stream's nodes and each conversation's leaf.
 
-    nodes: path, role, ids, loss_from, loss_to (places in ids; equal if nothing is learnt), copies (turns merged),
+    nodes: key, depth, role, ids, loss_from, loss_to (places in ids; equal if nothing is learnt), copies (turns merged),
     start, position, intervals (array of start, stop in stream order, without the node itself).
-    leaves: conv_id, n_turns, path.
+    leaves: conv_id, n_turns, key.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", text("role").alias("role"), text("text").alias("text")).alias("t"))
@@ -126,14 +127,15 @@ def build(conversations: DataFrame, scratch: Scratch, vocabulary: str, pattern:
     base = F.element_at(F.create_map(*[F.lit(x) for kv in (offsets or {0: 0}).items() for x in kv]), F.col("part"))
     placed = scratch.keep(tokens.select("path", "role", "ids", "loss_from", "loss_to", "copies", (base + F.col("local")).alias("start")), "placed")
     scratch.drop(tokens)
-    at = placed.select(F.col("path").alias("above"), "start", (F.col("start") + F.size("ids")).alias("stop"))
-    depth = F.length("path") / 16
-    up = placed.select("path", F.explode(F.expr("transform(sequence(1, cast(length(path) / 16 as int)), k -> substring(path, 1, 16 * k))")).alias("above"))
-    up = up.where("above <> path").join(at, "above").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("intervals"), F.sum(F.col("stop") - F.col("start")).alias("position"))
+    # only keys meet in the joins: the paths of long conversations are long
+    key, depth = F.right("path", F.lit(DIGITS)), F.floor(F.length("path") / DIGITS).cast("int")
+    at = placed.select(key.alias("above"), "start", (F.col("start") + F.size("ids")).alias("stop"))
+    up = placed.where(depth > 1).select(key.alias("key"), F.explode(F.expr(f"transform(sequence(1, cast(length(path) / {DIGITS} as int) - 1), k -> substring(path, {DIGITS} * (k - 1) + 1, {DIGITS}))")).alias("above"))
+    up = up.join(at, "above").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("intervals"), F.sum(F.col("stop") - F.col("start")).alias("position"))
     up = scratch.keep(up, "ancestors")
-    nodes = placed.join(up, "path", "left").withColumn("depth", depth.cast("int")).withColumn("position", F.coalesce("position", F.lit(0)))
+    nodes = placed.withColumn("key", key).withColumn("depth", depth).drop("path").join(up, "key", "left").withColumn("position", F.coalesce("position", F.lit(0)))
     nodes = scratch.keep(nodes.withColumn("intervals", F.coalesce("intervals", F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)"))), "nodes")
-    return nodes, turns.where("last").select("conv_id", "n_turns", "path")
+    return nodes, turns.where("last").select("conv_id", "n_turns", key.alias("key"))
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame, scratch: Scratch, vocabulary: str, pattern: str) -> DataFrame:
@@ -141,9 +143,9 @@ def read_back(nodes: DataFrame, leaves: DataFrame, scratch: Scratch, vocabulary:
 
     Each distinct leaf is read once, however many conversations end there."""
     stream = nodes.select("start", "ids", "loss_from", "loss_to")
-    wanted = nodes.join(leaves.select("path").distinct(), "path", "left_semi")
-    spans = wanted.select("path", F.explode(F.concat(F.transform("intervals", lambda x: x["start"]), F.array("start"))).alias("start"))
-    gathered = spans.join(stream, "start").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "ids", "loss_from", "loss_to"))).alias("parts"))
+    wanted = nodes.join(leaves.select("key").distinct(), "key", "left_semi")
+    spans = wanted.select("key", F.explode(F.concat(F.transform("intervals", lambda x: x["start"]), F.array("start"))).alias("start"))
+    gathered = spans.join(stream, "start").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "ids", "loss_from", "loss_to"))).alias("parts"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary, pattern)
@@ -154,10 +156,10 @@ def read_back(nodes: DataFrame, leaves: DataFrame, scratch: Scratch, vocabulary:
                 whole.append("".join(enc.decode(p["ids"]) for p in parts))
                 loss.append("".join(unescape(enc.decode(p["ids"][p["loss_from"] : p["loss_to"]])) for p in parts))
                 turns.append([{"role": r, "text": t} for r, t in parse(whole[-1])])
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(whole, pa.string()), pa.array(loss, pa.string()), pa.array(turns, pa.list_(turn))], ["path", "formatted", "loss_text", "turns"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(whole, pa.string()), pa.array(loss, pa.string()), pa.array(turns, pa.list_(turn))], ["key", "formatted", "loss_text", "turns"])
 
-    texts = scratch.keep(gathered.mapInArrow(read, "path string, formatted string, loss_text string, turns array<struct<role: string, text: string>>"), "texts")
-    return leaves.join(texts, "path").drop("path")
+    texts = scratch.keep(gathered.mapInArrow(read, "key string, formatted string, loss_text string, turns array<struct<role: string, text: string>>"), "texts")
+    return leaves.join(texts, "key").drop("key")
 
 
 def attention_mask(intervals: list[tuple[int, int]], start: int, count: int, size: int) -> np.ndarray:
