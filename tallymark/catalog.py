@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import names
+from .functions import links, names
 from .functions.similarity import score_pairs, trigrams
-from .operators import facts, fit, phrases, resolve
+from .operators import coverage, facts, fit, phrases, resolve
 from .sources import registers
 from .streaming import usage
 
@@ -421,6 +421,49 @@ def conflict_verdict(rows, _):
     return history.join(signal, "posting_id").select("posting_id", F.when(F.col("polarity") == "negative", "posting_negative").otherwise(F.col("kind")).alias("shown"))
 
 
+LEXICON = ["python", "sql", "machine learning", "c++"]
+ASKING = """select p_partkey as posting_id, concat('Python wanted', chr(10), 'Requirements', chr(10), '- 5+ years of experience with ', p_name, ' and SQL', chr(10), '- Machine learning, C++; knowledge of ', p_name,
+ case when p_partkey % 3 = 0 then concat(chr(10), 'About The Team', chr(10), '- We ship ', p_name) else '' end) as text from part"""
+RESUMES = "select p_partkey as resume_id, concat('Built ', p_name, case p_partkey % 3 when 0 then ' in Python' when 1 then ' with SQL' else ' by machine learning' end) as text from part where p_partkey <= 20"
+
+
+@query(ASKING)
+def keyword_requirements(rows, _):
+    return coverage.requirements(rows, LEXICON)
+
+
+@query(ASKING)
+def keyword_coverage(rows, read):
+    pairs = rows.select("posting_id", (F.col("posting_id") % 20 + 1).alias("resume_id"))
+    return coverage.analyze(pairs, rows, read(RESUMES), LEXICON)
+
+
+_INTERVIEWS = """select s_suppkey, 'Glassdoor interviews' as label, concat('https://www.glassdoor.com/Search/results.htm?keyword=', replace(s_name, '#', '%23')) as url from supplier
+ union all select s_suppkey, 'Blind discussions', concat('https://www.google.com/search?q=site%3Ateamblind.com+%22', replace(s_name, '#', '%23'), '%22+interview') from supplier
+ union all select s_suppkey, 'Interview write-ups on the web', concat('https://www.google.com/search?q=%22', replace(s_name, '#', '%23'), '%22+interview+process+questions') from supplier"""
+
+
+@query("select s_suppkey, s_name from supplier", _INTERVIEWS)
+def interview_links(rows, _):
+    return rows.select("s_suppkey", F.inline(links.interviews(F.col("s_name"))))
+
+
+@query("select s_suppkey, concat('s', s_suppkey, '.example.com') as domain from supplier", "select s_suppkey, concat('https://s', s_suppkey, '.example.com', unnest(['/team', '/about/team', '/leadership', '/about/leadership', '/about', '/company/team'])) as url from supplier")
+def leadership_pages(rows, _):
+    return rows.select("s_suppkey", F.explode(links.leadership_pages(F.col("domain"))).alias("url"))
+
+
+@query("select c_custkey, c_name, concat('Firm ', c_custkey % 9) as firm from customer", "select c_custkey, concat('https://www.linkedin.com/search/results/people/?keywords=', replace(c_name, '#', '%23'), '+Firm+', c_custkey % 9) as url from customer")
+def person_search(rows, _):
+    return rows.select("c_custkey", links.person_search(F.col("c_name"), F.col("firm")).alias("url"))
+
+
+@query(URLS)
+def mismatch_report(rows, _):
+    name = F.concat(F.lit("Firm "), "page_id")
+    return rows.select("page_id", links.mismatch_report("owner/repo", name, F.upper(name), F.col("url"), "_No page contents are included._").alias("url"))
+
+
 def queries() -> dict:
     return dict(REGISTRY)
 

@@ -12,7 +12,8 @@ STOP = (
     "company companies year years experience experienced strong excellent good ability able help helps helping including include includes new great looking join joining candidate candidates applicant applicants "
     "position positions job jobs opportunity opportunities responsibilities requirements qualifications preferred required plus benefits salary apply"
 ).split()
-HEADING = r"(?i)\b(requirements?|qualifications?|who you are|must have|skills?|about you|nice to have|preferred)\b"
+HEADING = r"(?i)\b(requirements?|qualifications?|what you.{0,3}ll (?:need|bring|do)|who you are|must have|we.{0,3}re looking for|skills?|about you|basic qualifications?|minimum qualifications?|nice to have|preferred)\b"
+TITLE = r"^[A-Z][^.!?]{0,60}:?$"
 BULLET = r"^\s*(?:[-–—*•‣▪]|\d+[.)])\s+"
 
 
@@ -41,8 +42,8 @@ def _top(rows: DataFrame, limit: int) -> DataFrame:
 
 def sections(postings: DataFrame) -> DataFrame:
     """(posting_id, line_no, line, in_requirements): a heading opens the section, a short title-case line closes it."""
-    lines = postings.select("posting_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("line", F.btrim("raw")).where("line <> ''")
-    title = F.col("line").rlike(r"^[A-Z]") & (F.length("line") < 40) & ~F.col("line").rlike(r"[.!?]$") & ~F.col("line").rlike(BULLET)
+    lines = postings.select("posting_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("line", F.regexp_replace("raw", r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")).where("line <> ''")
+    title = F.col("line").rlike(TITLE) & ~F.col("line").rlike(BULLET)
     event = F.when(F.col("line").rlike(HEADING), F.lit(True)).when(title, F.lit(False))
     upto = Window.partitionBy("posting_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     state = F.coalesce(F.last(event, ignorenulls=True).over(upto), F.lit(False))
