@@ -33,11 +33,18 @@ def test_find_column():
         registers.find_column(["a"], "employer")
 
 
-def test_pair_scores():
-    assert similarity.pair_score("apple", "apple bank for savings") == (pytest.approx(0.7537, abs=1e-4), "token_prefix")
-    assert similarity.pair_score("stripe", "stripe payments company") == (pytest.approx(0.8643, abs=1e-4), "token_prefix")
-    assert similarity.pair_score("ibm", "international business machines") == (0.86, "acronym")
-    assert similarity.pair_score("x", "x") == (1.0, "exact_normalized")
+NAME_PAIRS = {
+    ("Apple", "Apple Bank for Savings"): (0.7537, "token_prefix"), ("Stripe", "Stripe Payments Company"): (0.8643, "token_prefix"),
+    ("IBM", "International Business Machines"): (0.86, "acronym"), ("X", "x"): (1.0, "exact_normalized"), ("", "x"): (0.0, "empty"),
+}
+
+
+@pytest.mark.parametrize("pair", NAME_PAIRS)
+def test_pair_scores(spark, pair):
+    """Scores are defined on normalised names, so the names go through normalize first."""
+    rows = spark.createDataFrame([pair], "q string, c string").select(names.normalize(F.col("q")).alias("q"), names.normalize(F.col("c")).alias("c"))
+    got = rows.select(similarity.score_pairs(F.col("q"), F.col("c")).alias("s")).first().s
+    assert (got.score, got.method) == (pytest.approx(NAME_PAIRS[pair][0], abs=1e-4), NAME_PAIRS[pair][1])
 
 
 @given(st.text("ab ", max_size=12), st.text("ab ", max_size=12))
