@@ -8,7 +8,8 @@ reaches an item's threshold are scored. Weights of an item are divided by its ow
 A threshold loses nothing: an item of n words of which 80 % of the five-word shingles occur leaves at most a fifth of
 n - 4 words uncovered, so its score is at least 1 minus the sum of that many largest weights. Retrieved pairs are
 verified: 80 % of the item's shingles in the passage, and half of the words of its question and of its answer (the
-last sentence, or the last quarter if there is one sentence only).
+last sentence, or the last quarter if there is one sentence only). A part shorter than a shingle is not tested by
+itself, as one altered word would veto a pair that holds the item's shingles; its overlap is still reported.
 
 Defined results: null and empty texts and items match nothing; items shorter than a shingle are one shingle; repeated
 rows are judged alike; ties do not matter, as everything above a threshold is returned; empty tables give no rows.
@@ -78,7 +79,7 @@ class ItemIndex:
             self.postings.append((ids, w))
             coded = [self.terms[t] for t in words]
             q, a = parts(words)
-            self.checks.append((shingles(coded), {self.terms[t] for t in q}, {self.terms[t] for t in a}))
+            self.checks.append((shingles(coded), {self.terms[t] for t in q}, {self.terms[t] for t in a}, len(q) >= SHINGLE, len(a) >= SHINGLE))
         self.floor = np.array([self.threshold[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)], dtype=np.float32)
 
     def matches(self, texts: pa.Array) -> list[dict[int, tuple]]:
@@ -125,10 +126,10 @@ class ItemIndex:
                 if grams is None:
                     words = here.tolist()
                     grams = {n: {tuple(words[j : j + n]) for j in range(len(words) - n + 1)} for n in {min(SHINGLE, len(x[1])) for x in self.items}}
-                want, q, ans = self.checks[i]
+                want, q, ans, test_q, test_a = self.checks[i]
                 share = sum(s in grams[len(s)] for s in want) / len(want)
                 in_q, in_a = (sum(bool(held[t]) for t in x) / max(1, len(x)) for x in (q, ans))
-                if share >= OVERLAP - 1e-9 and in_a >= PART_OVERLAP and (in_q >= PART_OVERLAP or not q):
+                if share >= OVERLAP - 1e-9 and (in_a >= PART_OVERLAP or not test_a) and (in_q >= PART_OVERLAP or not test_q):
                     best = out[of[p]].get(i)
                     if best is None or share > best[0]:
                         out[of[p]][i] = (share, in_q if q else 1.0, in_a, int(a - (ends - counts)[of[p]]))

@@ -235,6 +235,18 @@ def test_decontamination(spark):
     assert kept == set(range(len(texts))) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("tail, glued", [("ed.", "ed.&&&"), ("so be.", "so.%%% be.%%%")])
+def test_short_last_sentence_has_no_veto(spark, tail, glued):
+    """All other shingles of the item are there: only the words of its last sentence are altered."""
+    start = " ".join(f"w{i}" for i in range(30)) + ". "
+    one = " ".join(f"v{i}" for i in range(24))
+    bench = spark.createDataFrame([(0, start + tail), (1, "Hm? " + one), (2, "u0 u1 u2 u3 u4 u5 u6")], "item_id long, text string")
+    texts = ["x y " + start + glued + " z", "hm?&&& " + one, "nothing of it", "u0 u1 u2 u3 u4 u5 zz"]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, texts), bench).collect()}
+    assert got == {(0, 0), (1, 1)}
+    assert [r.doc_id for r in decontam.clean(frame(spark, texts), bench).orderBy("doc_id").collect()] == [2, 3]
+
+
 def test_chat(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo</s>\\"), (1, 0, "user", "hi"), (1, 1, "assistant", "other"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo</s>\\"), (3, 0, None, None), (4, 0, "system", "s|>\\\\"), (4, 1, "assistant", "▁ é")]
     where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
