@@ -26,7 +26,7 @@ COMPANIES = """select s_suppkey as company_id, concat(p_name, case s_suppkey % 5
  case s_nationkey % 3 when 0 then 'US' when 1 then 'GB' else 'CA' end as country from supplier join part on p_partkey = s_suppkey"""
 QUERIES = """select c_custkey as query_id, case c_custkey % 4 when 0 then p_name when 1 then concat(p_name, ' Limited') when 2 then concat(substr(p_name, 2), ' corp') else concat('zq', c_custkey) end as name,
  case c_custkey % 4 when 0 then 'US' when 1 then 'DE' else null end as country, case when c_custkey % 10 = 0 then concat('https://www.s', c_custkey % 100, '.example.com/jobs') else null end as domain
- from customer join part on p_partkey = c_custkey % 200 where c_custkey < 400"""
+ from customer join part on p_partkey = c_custkey % 200"""
 STATS = """select l_suppkey as company_id, case s_nationkey % 3 when 0 then 'US' when 1 then 'GB' else 'CA' end as country, cast(year(l_shipdate) as int) as year, l_quantity, l_extendedprice,
  l_returnflag as source_id, cast(l_shipdate as date) as published_date from lineitem join supplier on s_suppkey = l_suppkey"""
 LONG = f"""select company_id, country, year, 'approvals' as metric, cast(l_quantity as decimal(14,2)) as value, source_id, published_date from ({STATS}) a
@@ -78,7 +78,7 @@ def normalize_names(rows, _):
     return rows.select("id", names.normalize(F.col("name")).alias("normalized"))
 
 
-@query(f"select id, lower(name) as name from ({NAMES}) n where id % 8 in (5, 7)", f"select id, regexp_replace(lower(name), '^(\\S+(?:\\s\\S+)*?)(?:\\s(?:{_ALTERNATIVES}))+$', '\\1') as stripped from ({NAMES}) n where id % 8 in (5, 7)")
+@query(f"select id, lower(name) as name from ({NAMES}) n", f"select id, regexp_replace(lower(name), '^(\\S+(?:\\s\\S+)*?)(?:\\s(?:{_ALTERNATIVES}))+$', '\\1') as stripped from ({NAMES}) n")
 def strip_suffixes(rows, _):
     return rows.select("id", names.strip_suffixes(F.col("name")).alias("stripped"))
 
@@ -121,7 +121,7 @@ def _jaccard(q: str, qk: str, t: str, tk: str, floor: float, top: int | None) ->
     return f"select * from ({ranked}) r where rank <= {top}" if top else ranked
 
 
-_PROBES = "select distinct c_custkey as query_id, concat(p_name, ' ', substr(p_name, 2, 4)) as name from customer join part on p_partkey = c_custkey % 200 where c_custkey < 300"
+_PROBES = "select distinct c_custkey as query_id, concat(p_name, ' ', substr(p_name, 2, 4)) as name from customer join part on p_partkey = c_custkey % 200"
 _TARGETS = "select company_id as target_id, normalized_name as name from (" + COMPANIES + ") c"
 
 
@@ -325,18 +325,18 @@ _TERMS = "unnest(list_filter(list_transform(regexp_extract_all(lower(text), '[a-
 
 
 def _terms_oracle(keep: str, least: int, limit: int) -> str:
-    return f"""with a as (select item_id as id, {_TERMS} from benchmark), h as (select distinct term from (select {_TERMS} from documents where doc_id % 10 = 0) d), c as (select id, term, count(*) as n from a group by 1, 2 having count(*) >= {least}),
+    return f"""with a as (select item_id as id, {_TERMS} from benchmark), h as (select distinct term from (select {_TERMS} from documents) d), c as (select id, term, count(*) as n from a group by 1, 2 having count(*) >= {least}),
  r as (select id, term, n, cast(row_number() over (partition by id order by n desc, term) as int) as rank from c where term {keep} (select term from h)) select * from r where rank <= {limit}"""
 
 
 @query("select item_id as id, text from benchmark", _terms_oracle("not in", 1, 6))
 def term_gaps(rows, read):
-    return fit.term_gaps(rows, read("select text from documents where doc_id % 10 = 0"), least=1)
+    return fit.term_gaps(rows, read("select text from documents"), least=1)
 
 
 @query("select item_id as id, text from benchmark", _terms_oracle("in", 1, 5))
 def term_overlaps(rows, read):
-    return fit.term_overlaps(rows, read("select text from documents where doc_id % 10 = 0"))
+    return fit.term_overlaps(rows, read("select text from documents"))
 
 
 _PAIRS = "select a.vec_id, b.vec_id as other, a.embedding as x, b.embedding as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"
@@ -424,7 +424,7 @@ def conflict_verdict(rows, _):
 LEXICON = ["python", "sql", "machine learning", "c++"]
 ASKING = """select p_partkey as posting_id, concat('Python wanted', chr(10), 'Requirements', chr(10), '- 5+ years of experience with ', p_name, ' and SQL', chr(10), '- Machine learning, C++; knowledge of ', p_name,
  case when p_partkey % 3 = 0 then concat(chr(10), 'About The Team', chr(10), '- We ship ', p_name) else '' end) as text from part"""
-RESUMES = "select p_partkey as resume_id, concat('Built ', p_name, case p_partkey % 3 when 0 then ' in Python' when 1 then ' with SQL' else ' by machine learning' end) as text from part where p_partkey <= 20"
+RESUMES = "select p_partkey as resume_id, concat('Built ', p_name, case p_partkey % 3 when 0 then ' in Python' when 1 then ' with SQL' else ' by machine learning' end) as text from part"
 
 
 @query(ASKING)
@@ -434,7 +434,7 @@ def keyword_requirements(rows, _):
 
 @query(ASKING)
 def keyword_coverage(rows, read):
-    pairs = rows.select("posting_id", (F.col("posting_id") % 20 + 1).alias("resume_id"))
+    pairs = rows.select("posting_id", F.col("posting_id").alias("resume_id"))
     return coverage.analyze(pairs, rows, read(RESUMES), LEXICON)
 
 
