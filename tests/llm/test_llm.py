@@ -200,6 +200,20 @@ def test_lm(spark):
         assert rows[i].score < 0
 
 
+def test_lm_counts_all_rows(spark, monkeypatch):
+    """Subword counts come from every training row, whatever the sample, and the network's sample grows."""
+    rare = ["Quixotic zephyr", "xylophone", "bandwagon quagmire"]
+    docs = frame(spark, ["the cat sat on the mat"] * 400 + rare)
+    read, sample = [], lm._sample
+    monkeypatch.setattr(lm, "_sample", lambda model, texts: read.append(len(texts)) or sample(model, texts))
+    model, _ = lm.fit(docs, docs.doc_id >= 0, MODEL, Scratch(spark, "t"), sample_docs=20, steps=1)
+    ids = pieces.codec(MODEL).encode([" ".join(rare).lower()])[0]
+    assert (model.place[ids] < lm.SHORT).all()
+    monkeypatch.setattr(lm, "GROWS", 4)
+    lm.fit(docs, docs.doc_id >= 0, MODEL, Scratch(spark, "t"), sample_docs=20, steps=1)
+    assert read[1] > 4 * read[0] > 0
+
+
 def test_windows_score_each_place_once():
     net = lm.Attention(9)
     y = np.random.default_rng(0).integers(0, 9, 100)
