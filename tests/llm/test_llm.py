@@ -214,6 +214,24 @@ def test_lm_counts_all_rows(spark, monkeypatch):
     assert read[1] > 4 * read[0] > 0
 
 
+def test_lm_tells_rare_inputs_apart():
+    """Two ids behind the shared output, a and b, decide what follows; a context of one symbol could not tell."""
+    c = pieces.codec(MODEL)
+    a, b, x, y = 20000, 20001, 300, 301
+    place = np.full(c.size, 2, dtype=np.int64)
+    place[[x, y]] = 0, 1
+    net = lm.Attention(3, inputs=c.size)
+    r = np.random.default_rng(1)
+    ids = np.concatenate([[(a, x), (b, y)][k] for k in r.integers(0, 2, 2000)])
+    w = lm.windows(len(ids))
+    inside = (w >= 0) & (w < len(ids))
+    xs = np.where(inside, np.where(w > 0, ids[np.clip(w - 1, 0, len(ids) - 1)], net.begin), net.pad)
+    ys = np.where(inside, place[ids[np.clip(w, 0, len(ids) - 1)]], -1)[:, lm.CONTEXT :]
+    net.train(xs, ys, steps=150)
+    after = net.log_probs(xs, np.maximum(ys, 0))[(ys == 0) | (ys == 1)]
+    assert after.mean() > -0.3  # a coin's is -0.69
+
+
 def test_windows_score_each_place_once():
     net = lm.Attention(9)
     y = np.random.default_rng(0).integers(0, 9, 100)
