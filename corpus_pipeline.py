@@ -1,6 +1,8 @@
 """The training-data pipeline: each stage's output is written as Parquet and read again by the next.
 
-Rows that share a doc_id are one document. Nulls: a null text has no language and goes in the first stage.
+Rows that share a doc_id are one document, repeated rows among them: all of its rows stay or go together. Nulls: a null
+text has no language and goes in the first stage; a document with a null doc_id cannot be named in a group and stays.
+Empty tables give empty stages; further columns, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each group of near copies (five words, 0.8)."""
     groups = minhash.near_duplicates(docs, Scratch(spark, "pipeline"))
-    return docs.join(groups.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    copies = groups.groupBy(F.col("doc_id").alias("copy")).agg(F.max("kept").alias("kept")).where("not kept").select("copy")
+    return docs.join(copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
