@@ -1,17 +1,23 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-Reference points (pivots) are drawn from a bounded sample, spread apart. A vector is described by its NEAREST
-pivots in order of nearness, and each of them is a posting list of an inverted index, so two vectors meet in a list
-for every pivot that both permutations hold. Pairs that share at least SHARED pivots are candidates, and a candidate
-links if its cosine, in double precision, reaches the limit. The tests measure recall against brute force.
-
-Equal vectors form one class first. A posting list of any size is cut into blocks, and pairs of blocks are groups of
-their own. A pair is counted in the first list that both share, so nothing is counted twice; what leaves a group is
-one row per vector (how many links, and a link that spans the group's components), never its pairs.
-
-Defined results: null and zero vectors, vectors with null or non-finite components and vectors of another length
-than most link with nothing and are their own component; repeated rows of one vec_id with one embedding are one row;
-an empty table gives no rows.
+Reference points (pivots) are drawn from a bounded sample, spread apart. A vector is described by its NEAREST pivots in
+order of nearness. The first PREFIX of them are posting lists of an inverted index, so two vectors meet in a list for
+every pivot that stands early in both permutations. Where they meet, shared pivots of the whole permutations are counted
+on pivot numbers alone; pairs with SHARED or more are candidates, and only candidates are verified: a link is a cosine,
+in double precision, of the limit or more. No verified link is given up. The tests measure recall against brute force.
+
+Equal vectors form one class first. A list of over HOT members is split by the second pivot that two vectors share,
+which loses no candidate as a candidate shares SHARED = 2 or more. Every list is cut into blocks, and pairs of blocks are
+groups of their own. A pair is verified and counted in one list only (the least of the small lists in which it meets,
+else the least split), so nothing is counted twice; what leaves a group is one row per vector (how many links, and a link
+that spans the group's components), never its pairs.
+
+Vectors of different lengths have different pivots and never link. Norms are taken after division by the largest
+component, so neither very large nor very small vectors overflow.
+
+Defined results: null, empty and zero vectors and vectors with null or non-finite components link with nothing and are
+their own component; every row of the table is a vector, repeated rows among them, which link with each other; cosines
+equal to the limit link; rows of one id with different vectors share their links; an empty table gives no rows; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -26,24 +32,30 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-#: About as many rows are read to choose the pivots; the bound of the index's sample.
-SAMPLE = 4096
-NEAREST, SHARED = 8, 2
-#: Rows of a posting list that are compared with another block at once.
-BLOCK = 512
+#: About as many rows are read to choose the pivots of all lengths together; the bound of the index's sample.
+SAMPLE = 8192
+NEAREST, PREFIX, SHARED = 8, 6, 2
+#: Rows of a posting list that are compared with another block at once, and members from which a list is split.
+BLOCK, HOT = 512, 4096
+#: Candidates verified at once.
+CHUNK = 1 << 16
+_NONE = np.iinfo(np.int32).max
 
 
 def pivot_count(n: int) -> int:
     """Grows with the root of the table, so that lists do too."""
-    return int(min(2048, max(64, 2.5 * n**0.5)))
+    return int(min(SAMPLE // 2, max(64, 2.5 * n**0.5)))
 
 
 def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision, and which rows have one. Rows must be of one length."""
     x = np.array(vectors, dtype=np.float64)
-    norm = np.sqrt((x * x).sum(axis=1)) if len(x) else np.empty(0)
-    good = np.isfinite(norm) & (norm > 0)
-    x[good] /= norm[good, None]
+    if not x.size:
+        return x, np.zeros(len(x), dtype=bool)
+    largest = np.abs(x).max(axis=1)
+    good = np.isfinite(largest) & (largest > 0)
+    x[good] /= largest[good, None]
+    x[good] /= np.sqrt((x[good] * x[good]).sum(axis=1))[:, None]
     return x, good
 
 
@@ -61,29 +73,43 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[picked]
 
 
-def _linked(batch: pa.Table, i: int, j: int, limit: float) -> pa.Table:
-    """Links between block i and block j of a posting list: per row its count of links, and a link to its component here."""
-    sides = batch.column("mine").to_numpy()
-    ids, pivot = batch.column("id").to_numpy(), batch.column("pivot")[0].as_py()
+def _candidates(left: np.ndarray, right: np.ndarray, hot: np.ndarray, pivot: int, second: int) -> np.ndarray:
+    """Which pairs of permutations share SHARED pivots and are to be verified in the list of `pivot` (split by `second`)."""
+    shared = np.zeros((len(left), len(right)), dtype=np.int8)
+    small, large, other = (np.full(shared.shape, _NONE, dtype=np.int32) for _ in range(3))
+    for a in range(left.shape[1]):
+        mine = left[:, a, None]
+        for b in range(right.shape[1]):
+            same = mine == right[None, :, b]
+            shared += same
+            if a < PREFIX and b < PREFIX:
+                np.minimum(small, np.where(same & ~hot[mine], mine, _NONE), out=small)
+                np.minimum(large, np.where(same & hot[mine], mine, _NONE), out=large)
+            if second >= 0:
+                np.minimum(other, np.where(same & (mine != pivot), mine, _NONE), out=other)
+    some = shared >= min(SHARED, left.shape[1])
+    if second < 0:
+        return some & (small == pivot)
+    return some & (small == _NONE) & (large == pivot) & (other == second)
+
+
+def _linked(batch: pa.Table, i: int, j: int, limit: float, hot: dict[int, np.ndarray]) -> pa.Table:
+    """Links between block i and block j of a list: per row its count of links, and a link to its component here."""
+    sides, ids, weight = (batch.column(c).to_numpy() for c in ("mine", "id", "copies"))
+    pivot, second, size = (batch.column(c)[0].as_py() for c in ("pivot", "second", "size"))
     n = len(ids)
-    x, _ = unit(np.stack(batch.column("v").to_numpy()))
-    order = np.sort(np.stack(batch.column("near").to_numpy()), axis=1)
-    weight = batch.column("copies").to_numpy()
+    near = np.stack(batch.column("near").to_numpy())
     left, right = np.flatnonzero(sides == i), np.flatnonzero(sides == j)
-    a, b = np.nonzero(x[left] @ x[right].T >= limit)
+    a, b = np.nonzero(_candidates(near[left], near[right], hot[size], pivot, second))
     a, b = left[a], right[b]
-    keep = a < b if i == j else np.ones(len(a), bool)
-    a, b = a[keep], b[keep]
+    if i == j:
+        a, b = a[a < b], b[a < b]
+    x, _ = unit(np.stack(batch.column("v").to_numpy()))
+    sure = [np.einsum("ij,ij->i", x[a[k : k + CHUNK]], x[b[k : k + CHUNK]]) >= limit for k in range(0, len(a), CHUNK)]
+    if sure:
+        sure = np.concatenate(sure)
+        a, b = a[sure], b[sure]
     links, root = np.zeros(n, np.int64), np.arange(n)
-    counted = []
-    for at in range(0, len(a), 1 << 16):
-        u, v = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        held = (order[u][:, :, None] == order[v][:, None, :]).any(axis=2)
-        first = order[u][np.arange(len(u)), held.argmax(axis=1)]
-        counted.append((held.sum(axis=1) >= min(SHARED, order.shape[1])) & (first == pivot))
-    if counted:
-        counted = np.concatenate(counted)
-        a, b = a[counted], b[counted]
     np.add.at(links, a, weight[b])
     np.add.at(links, b, weight[a])
     while True:  # the smallest member that links within the group reach
@@ -98,38 +124,54 @@ def _linked(batch: pa.Table, i: int, j: int, limit: float) -> pa.Table:
 
 
 def near_duplicates(table: DataFrame, scratch: Scratch, *, limit: float = 0.9, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each distinct (id, vector) of `table`."""
-    rows = table.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).distinct()
+    """(vec_id, n_links, component_id, kept) for each row of `table`."""
+    rows = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = scratch.keep(rows.withColumn("fine", F.coalesce(fine, F.lit(False))), "rows")
-    good = rows.where("fine")
-    usual = good.groupBy(F.size("v").alias("k")).count().orderBy(F.desc("count"), "k").first()
-    classes = scratch.keep(good.where(F.size("v") == (usual.k if usual else 0)).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
-    n = classes.count()
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = sorted(classes.where(part < min(1.0, SAMPLE / max(n, 1))).select("id", "v").collect())
-    pivots = choose_pivots(unit([r.v for r in sample])[0], pivot_count(n)) if sample else np.empty((0, 1))
-    shared = table.sparkSession.sparkContext.broadcast(pivots)  # at most 2048 pivots
+    rows = scratch.keep(rows.withColumn("fine", F.coalesce(fine & F.col("id").isNotNull(), F.lit(False))), "rows")
+    classes = scratch.keep(rows.where("fine").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("size", F.size("v")), "classes")
+    lengths = {r["size"]: r["n"] for r in classes.groupBy("size").agg(F.count("*").alias("n")).collect()}  # a row per length
+    total = max(1, sum(lengths.values()))
+    part = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) / float(1 << 30)
+    # of each length its share of SAMPLE, and 64 rows where that is less
+    share = {k: max(SAMPLE / total, 64 / n) for k, n in lengths.items()}
+    sample: dict[int, list] = {k: [] for k in lengths}
+    if lengths:
+        wanted = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("size"))
+        for r in sorted(classes.where(part < wanted).select("id", "size", "v").collect()):
+            sample[r["size"]].append(r["v"])
+    pivots = {k: choose_pivots(unit(v)[0], pivot_count(lengths[k])) for k, v in sample.items() if v}
+    # a length whose rows all escaped the sample has one pivot, so all its vectors share a list
+    pivots |= {k: np.eye(1, k) for k in lengths if k not in pivots}
+    shared = table.sparkSession.sparkContext.broadcast(pivots)  # at most SAMPLE vectors, and 64 more for each length
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, _ = unit(np.stack(b.column("v").to_numpy(zero_copy_only=False)))
-                near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :NEAREST].astype(np.int32)
+            sizes = b.column("size").to_numpy()
+            for k in np.unique(sizes).tolist():
+                part = b.filter(pa.array(sizes == k))
+                x, _ = unit(np.stack(part.column("v").to_numpy(zero_copy_only=False)))
+                near = np.argsort(-(x @ shared.value[k].T), axis=1, kind="stable")[:, :NEAREST].astype(np.int32)
                 at = np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("copies"), b.column("v"), pa.ListArray.from_arrays(pa.array(at), pa.array(near.ravel()))], ["id", "copies", "v", "near"])
-
-    near = scratch.keep(classes.select("id", "copies", "v").mapInArrow(describe, "id long, copies long, v array<double>, near array<int>"), "near")
-    posted = near.withColumn("pivot", F.explode("near"))
-    lists = scratch.keep(posted.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "lists")
-    spread = posted.join(F.broadcast(lists), "pivot").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))  # a row per pivot
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "copies", "v", "size")), pa.ListArray.from_arrays(pa.array(at), pa.array(near.ravel()))], ["id", "copies", "v", "size", "near"])
+
+    near = scratch.keep(classes.select("id", "copies", "v", "size").mapInArrow(describe, "id long, copies long, v array<double>, size int, near array<int>"), "near")
+    early = near.select("size", F.explode(F.slice("near", 1, PREFIX)).alias("pivot")).groupBy("size", "pivot").agg(F.count("*").alias("n"))
+    hot = {k: np.zeros(len(v), dtype=bool) for k, v in pivots.items()}
+    for r in early.where(F.col("n") > HOT).collect():  # pivots at most
+        hot[r["size"]][r["pivot"]] = len(pivots[r["size"]]) > 1  # a lone pivot has no second one to split by
+    split = F.create_map(*[x for k, v in hot.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in np.flatnonzero(v).tolist()]).cast("array<int>"))]) if hot else None
+    is_hot = F.array_contains(F.element_at(split, F.col("size")), F.col("pivot")) if hot else F.lit(False)
+    alone, others = F.array(F.lit(-1)), F.filter("near", lambda x: x != F.col("pivot"))
+    posted = near.withColumn("pivot", F.explode(F.slice("near", 1, PREFIX))).withColumn("second", F.explode(F.when(is_hot, others).otherwise(alone)))
+    lists = scratch.keep(posted.groupBy("size", "pivot", "second").agg(F.count("*").alias("n")).where("n > 1").select("size", "pivot", "second", F.ceil(F.col("n") / BLOCK).alias("blocks")), "lists")
+    spread = posted.join(lists, ["size", "pivot", "second"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
 
     def group(key: tuple, batch: pa.Table) -> pa.Table:
-        return _linked(batch, key[1].as_py(), key[2].as_py(), limit)
+        return _linked(batch, key[3].as_py(), key[4].as_py(), limit, hot)
 
-    found = scratch.keep(spread.groupBy("pivot", "i", "j").applyInArrow(group, "id long, links long, to long"), "found")
+    found = scratch.keep(spread.groupBy("size", "pivot", "second", "i", "j").applyInArrow(group, "id long, links long, to long"), "found")
     parts = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")), scratch)
     named = classes.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(parts, "id", "left")
     named = scratch.keep(named.select("v", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
