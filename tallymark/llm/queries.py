@@ -25,7 +25,7 @@ def op1_chat_format(spark, sf_dir):
     probe = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema))
     scratch, words = Scratch(spark, "chat"), (vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    back = chat.read_back(*chat.build(rows, scratch, *words), scratch, *words)
+    back = chat.read_back(chat.build(rows, scratch, *words), *words)
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -283,16 +283,50 @@ def test_chat(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo</s>\\"), (1, 0, "user", "hi"), (1, 1, "assistant", "other"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo</s>\\"), (3, 0, None, None), (4, 0, "system", "s|>\\\\"), (4, 1, "assistant", "▁ é")]
     where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     scratch = Scratch(spark, "t")
-    nodes, leaves = chat.build(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), scratch, *where)
-    nodes_ = nodes.orderBy("start").collect()
+    stream = chat.build(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), scratch, *where)
+    nodes_ = stream.nodes.orderBy("start").collect()
     assert len(nodes_) == 6  # the shared first turn and the repeated conversation are emitted once
     assert [n.start for n in nodes_] == list(np.cumsum([0, *[len(n.ids) for n in nodes_]])[:-1])
     for n in nodes_:
         assert n.position == sum(b - a for a, b in n.intervals) and all(b <= n.start for _, b in n.intervals)
-    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(nodes, leaves, scratch, *where).collect()}
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(stream, *where).collect()}
     assert got == {c: [(r or "", t or "") for k, _, r, t in rows if k == c] for c in range(5)}
 
 
+def test_chat_tree_over_many_partitions(spark):
+    """A third of the conversations begin alike or are alike; rows without an id and clashing columns are among them."""
+    rnd = random.Random(8)
+    where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    turns = {c: [("user", rnd.choice("ab"))] + [("assistant" if k % 2 == 0 else "user", rnd.choice("xy")) for k in range(rnd.randrange(0, 9))] for c in range(300)}
+    turns |= {c: [("user", "hot"), ("assistant", "same")] for c in range(300, 450)}
+    turns |= {450: [("user", "long " * 20_000)], 451: [("user", "a")] * 300}
+    rows = [(c, k, r, t, 1, 2) for c, ts in turns.items() for k, (r, t) in enumerate(ts)] + [(None, 0, "user", f"lone {i}", 1, 2) for i in range(5)]
+    rnd.shuffle(rows)
+    schema = "conv_id long, turn int, role string, text string, start long, part int"
+    with_many = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that no partitions are joined
+    try:
+        stream = chat.build(spark.createDataFrame(rows, schema), Scratch(spark, "t"), *where)
+        nodes = stream.nodes.orderBy("start").collect()
+        back = chat.read_back(stream, *where).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_many)
+    assert len({n.part for n in nodes}) > 3
+    paths = {tuple(ts[: k + 1]) for ts in turns.values() for k in range(len(ts))}
+    assert len(nodes) == len(paths) + 5
+    assert [n.start for n in nodes] == list(np.cumsum([0, *[len(n.ids) for n in nodes]])[:-1])
+    above = []
+    for n in nodes:  # the stream is a depth-first walk, and intervals are the ancestors' places
+        del above[n.depth - 1 :]
+        assert len(above) == n.depth - 1
+        assert [i for a, b in n.intervals for i in range(a, b)] == [i for a, b in above for i in range(a, b)]
+        assert n.position == sum(b - a for a, b in n.intervals) and all(x.stop < y.start for x, y in zip(n.intervals, n.intervals[1:], strict=False))
+        above.append((n.start, n.start + len(n.ids)))
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in back if r.conv_id is not None}
+    assert got == turns and sorted(r.formatted for r in back if r.conv_id is None) == [f"<|turn:user|>lone {i}</s>" for i in range(5)]
+    assert chat.read_back(chat.build(spark.createDataFrame([], schema), Scratch(spark, "t"), *where), *where).count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline as p
 
