@@ -10,13 +10,14 @@ rows: `per_language` rows of each language are expected, however large the corpu
 tables are counted on the executors first.
 
 Defined results: null text and text without a letter give `und` with score 0; ties go to the language that sorts
-first; words of over 40 letters are scored in parts of 40; rows that repeat are scored alike; with no labelled row
-every text is `und`.
+first; words are scored whole, whatever their length (the forward pass is rescaled where they are long; in the fit a
+word whose probability is below the smallest double, some hundred letters, adds nothing); rows that repeat are scored
+alike; with no labelled row every text is `und`; an empty table gives no rows; columns other than the id, the text and,
+in the fit, the label are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,8 @@ from .common import slices, split_unique
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
-LONGEST = 40
+#: Words of more letters are scored with a rescaled forward pass, as their probabilities may be below the smallest double.
+LONG = 64
 UNKNOWN = "und"
 
 
@@ -89,6 +91,21 @@ def forward(paths: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(paths: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Logarithms of the last alphas of forward(), for words of any length: the last few places are held, rescaled."""
+    words, n, most = paths.shape
+    held = np.zeros((most, words, prob.shape[1]))  # place j at j % most
+    held[0], scale = 1, np.zeros((words, prob.shape[1]))
+    for j in range(1, n + 1):
+        now = sum(held[(j - k) % most] * prob[paths[:, j - k, k - 1]] for k in range(1, min(j, most) + 1))
+        held[j % most] = now
+        if j % 16 == 0:
+            top = np.maximum(held.max(axis=0), 1e-300)
+            held /= top
+            scale += np.log(top)
+    return np.log(np.maximum(held[n % most], 1e-300)) + scale
+
+
 def backward(paths: np.ndarray, prob: np.ndarray) -> np.ndarray:
     words, n, most = paths.shape
     beta = np.zeros((words, n + 1, prob.shape[1]))
@@ -99,26 +116,20 @@ def backward(paths: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return beta
 
 
-def of_length(words: list[str], block: int = 4096) -> Iterator[list[int]]:
-    """Places of words in blocks of one length each."""
+def of_length(words: list[str], letters: int = 1 << 17) -> Iterator[list[int]]:
+    """Places of words in blocks of one length each, of about so many letters."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
-    for group in by.values():
+    for n, group in by.items():
+        block = max(1, letters // n)
         for i in range(0, len(group), block):
             yield group[i : i + block]
 
 
 def words_of(text: str | None) -> list[str]:
-    """Letter runs in lower case; longer ones in parts, of which only the first starts a word."""
-    out = []
-    for w in WORD.findall(text.lower()) if text else ():
-        if len(w) < LONGEST:
-            out.append(START + w)
-        else:
-            w = START + w
-            out += [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+    """Letter runs in lower case."""
+    return [START + w for w in WORD.findall(text.lower())] if text else []
 
 
 @dataclass
@@ -143,8 +154,8 @@ class LanguageModel:
         self.lattice = self.lattice or Lattice(self.pieces)
         out = np.empty((len(words), len(self.languages)))
         for block in of_length(words):
-            alpha = forward(self.lattice.paths([words[i] for i in block]), self.prob)
-            out[block] = np.log(np.maximum(alpha[:, -1], 1e-300))
+            paths = self.lattice.paths([words[i] for i in block])
+            out[block] = log_forward(paths, self.prob) if paths.shape[1] > LONG else np.log(np.maximum(forward(paths, self.prob)[:, -1], 1e-300))
         return out
 
     def log_probs(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,11 +261,6 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id",
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_column)
 
 
-def uniform_entropy(model: LanguageModel) -> float:
-    """Bits per piece if all pieces were alike; a yardstick for tests."""
-    return math.log2(max(2, model.prob.shape[0] - 1))
-
-
 def identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.5) -> DataFrame:
     """The rows of `docs`, all columns, whose language is found with a score of at least `least`. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
