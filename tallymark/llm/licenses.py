@@ -2,9 +2,11 @@
 
 Words are compared in lower case without punctuation, digits as one sign. Every template's word GRAM-grams are hashed
 and winnowed: of each WINDOW neighbouring hashes the smallest goes to an inverted index. All grams of a document are
-looked up there, so a shared run of GRAM + WINDOW - 1 words always hits. Hits near one diagonal are one candidate; the
-template is then aligned with the document inside a band around that diagonal. The coverage is the share of template
-words that the alignment matches; the span runs from the first matched word to the last.
+looked up there, so a shared run of GRAM + WINDOW - 1 words always hits. Templates of under SHORT words are not winnowed,
+and those of under TINY words are indexed by pairs of words, so that four of five words still hit. Hits near one diagonal
+are one candidate; the template is then aligned with the document inside a band around that diagonal, a quarter of a
+short template wide. The coverage is the share of template words that the alignment matches; the words that name the
+license (KEYWORDS) must be among them. The span runs from the first matched word to the last.
 
 Defined results: null and empty texts have no match; repeated notices in one text are separate rows; of matches whose
 spans overlap the one with more matched words stays, then the one whose license sorts first; repeated rows are scanned
@@ -25,12 +27,16 @@ from pyspark.sql import functions as F
 from .common import slices, split_unique
 
 GRAM, WINDOW, BAND = 3, 4, 12
+SHORT, TINY = 20, 10
 # fixed values: public notices and license openings
 TEMPLATES = {
     "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
     "Apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
@@ -38,6 +44,8 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+# fixed values: words that name a license, as normal() leaves them
+KEYWORDS = set("gnu lesser mit apache bsd mozilla by bync bysa bynd byncsa byncnd attribution attributionnoncommercial attributionsharealike attributionnoderivatives attributionnoncommercialsharealike attributionnoncommercialnoderivatives".split())
 _DROP, _DIGITS, _NUMBER, _WORD = re.compile(r"[^\w#]+|_+"), re.compile(r"[\d.]*\d"), re.compile(r"\d+(?:\.\d+)*"), re.compile(r"[^ \t-\r]+")
 
 
@@ -45,11 +53,11 @@ def normal(word: str) -> str:
     return _DROP.sub("", _DIGITS.sub("#", word.lower()))
 
 
-def _hash(words: np.ndarray) -> np.ndarray:
+def _hash(words: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A hash for the gram at each place."""
-    n = len(words) - GRAM + 1
-    out = np.zeros(max(0, n), dtype=np.uint64)
-    for k in range(GRAM if n > 0 else 0):
+    n = len(words) - gram + 1
+    out = np.full(max(0, n), gram, dtype=np.uint64)
+    for k in range(gram if n > 0 else 0):
         out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
@@ -101,18 +109,27 @@ def align(template: list[int], words: list[int], shift: int, band: int = BAND) -
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]], coverage: float):
+    def __init__(self, templates: dict[str, list[str]], coverage: float, keywords: set[str] = frozenset(KEYWORDS)):
         self.coverage = coverage
-        self.names, self.codes = [], []
-        index: dict[int, list[tuple[int, int]]] = {}
+        self.names, self.codes, self.bands, self.needed = [], [], [], []
+        self.index: dict[int, dict[int, list[tuple[int, int]]]] = {GRAM: {}, 2: {}}
         for name, texts in sorted(templates.items()):
             for text in texts:
-                code = _codes([w for w in map(normal, text.split()) if w])
-                for at in winnow(h := _hash(code)):
-                    index.setdefault(int(h[at]), []).append((len(self.names), at))
+                words = [w for w in map(normal, text.split()) if w]
+                code, needed = _codes(words), {i for i, w in enumerate(words) if w in keywords}
+                gram = GRAM if len(words) >= TINY else min(2, len(words))
+                h = _hash(code, gram)
+                if len(words) >= SHORT:
+                    places = winnow(h)
+                else:  # of a tiny template, the pairs with its name in them
+                    places = [i for i in range(len(h)) if len(words) >= TINY or not needed or needed & set(range(i, i + gram))]
+                for at in places:
+                    self.index.setdefault(gram, {}).setdefault(int(h[at]), []).append((len(self.names), at))
                 self.names.append(name)
                 self.codes.append(code.tolist())
-        self.index, self.keys = index, np.array(sorted(index), dtype=np.uint64)
+                self.bands.append(min(BAND, max(1, len(words) // 4)))
+                self.needed.append(needed)
+        self.keys = {gram: np.array(sorted(index), dtype=np.uint64) for gram, index in self.index.items() if index}
 
     def scan(self, texts: pa.Array) -> list[list[tuple]]:
         """For each text its matches: (license, version, coverage, first_char, end_char, first_word, words)."""
@@ -124,28 +141,29 @@ class Scanner:
         of_word = np.repeat(np.arange(len(counts)), counts)[kept]
         nth = (np.arange(len(words)) - np.repeat(ends - counts, counts))[kept]
         words = words[kept]
-        grams = _hash(words)
-        if not len(grams):
-            return [[] for _ in counts]
-        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        hits = np.flatnonzero((self.keys[at] == grams) & (of_word[: len(grams)] == of_word[GRAM - 1 :]))
         found: dict[int, list[tuple]] = {}
         tried: dict[tuple[int, int], list[int]] = {}
         begin = np.searchsorted(of_word, np.arange(len(counts) + 1))
-        for g in hits.tolist():
-            text = int(of_word[g])
-            lo, hi = int(begin[text]), int(begin[text + 1])
-            for t, place in self.index[int(grams[g])]:
-                shift = g - lo - place
-                near = tried.setdefault((text, t), [])
-                if any(abs(s - shift) <= BAND // 2 for s in near):
-                    continue
-                near.append(shift)
-                start, stop = max(lo, lo + shift - BAND), min(hi, lo + shift + len(self.codes[t]) + BAND)
-                pairs = align(self.codes[t], words[start:stop].tolist(), lo + shift - start)
-                if pairs and len(pairs) >= self.coverage * len(self.codes[t]):
-                    a, b = start + pairs[0][1], start + pairs[-1][1]
-                    found.setdefault(text, []).append((len(pairs), self.names[t], len(pairs) / len(self.codes[t]), int(nth[a]), int(nth[b])))
+        for gram, keys in self.keys.items():
+            grams = _hash(words, gram)
+            if not len(grams):
+                continue
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            hits = np.flatnonzero((keys[at] == grams) & (of_word[: len(grams)] == of_word[gram - 1 :]))
+            for g in hits.tolist():
+                text = int(of_word[g])
+                lo, hi = int(begin[text]), int(begin[text + 1])
+                for t, place in self.index[gram][int(grams[g])]:
+                    shift, band = g - lo - place, self.bands[t]
+                    near = tried.setdefault((text, t), [])
+                    if any(abs(s - shift) <= band // 2 for s in near[-8:]):  # hits come in the order of places
+                        continue
+                    near.append(shift)
+                    start, stop = max(lo, lo + shift - band), min(hi, lo + shift + len(self.codes[t]) + band)
+                    pairs = align(self.codes[t], words[start:stop].tolist(), lo + shift - start, band)
+                    if pairs and len(pairs) >= self.coverage * len(self.codes[t]) and self.needed[t] <= {i for i, _ in pairs}:
+                        a, b = start + pairs[0][1], start + pairs[-1][1]
+                        found.setdefault(text, []).append((len(pairs), self.names[t], len(pairs) / len(self.codes[t]), int(nth[a]), int(nth[b])))
         out = []
         for text in range(len(counts)):
             rows = []

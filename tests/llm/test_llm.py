@@ -76,6 +76,16 @@ def test_forward_sums_all_segmentations():
     assert m.predict(["abc", "cab", None, "12 !"])[0] == ["x", "y", "und", "und"]
 
 
+def test_long_words_are_scored_whole():
+    model = langid.fit_counts([("en", "▁the", 5), ("en", "▁hello", 3), ("fr", "▁oui", 5), ("fr", "▁elle", 3)], pieces.codec(MODEL).pieces)
+    lattice, word = langid.Lattice(model.pieces), "▁" + "hellothe" * 7
+    paths = lattice.paths([word, word])
+    assert langid.log_forward(paths, model.prob) == pytest.approx(np.log(langid.forward(paths, model.prob)[:, -1]))
+    one, many = model.word_scores(["▁" + "hellothe" * n for n in (100, 1000)])
+    assert np.isfinite(many).all() and many == pytest.approx(10 * one, rel=0.02)
+    assert model.predict(["hellothe" * 1000, "ouielle" * 1000])[0] == ["en", "fr"]
+
+
 def test_language_of_odd_texts(spark):
     model = langid.fit_counts([("en", "▁word", 5)], pieces.codec(MODEL).pieces)
     got = {r.doc_id: r for r in langid.predict(frame(spark, ODD), model).collect()}
@@ -171,6 +181,31 @@ def test_license_scan(spark):
     assert (n, "MIT", None, 9) in got and (n + 1, "Apache", "2.0", 2) in got
 
 
+def test_license_repeats_short_notices_and_names(spark):
+    mit = "Released under the MIT License."
+    texts = [" ".join([mit] * 3), f"{mit} {mit}", "Released under an MIT License.", "Released under the MIT Licence.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-ND 4.0.", "Released under the XYZ License.", "under the under the under the " * 50]
+    rows = licenses.scan(frame(spark, texts)).collect()
+    assert sorted((r.doc_id, r.license, r.first_word, r.n_words) for r in rows) == [(0, "MIT", 0, 5), (0, "MIT", 5, 5), (0, "MIT", 10, 5), (1, "MIT", 0, 5), (1, "MIT", 5, 5), (2, "MIT", 0, 5), (3, "MIT", 0, 4), (4, "CC-BY-NC-SA", 0, 5), (5, "CC-BY-ND", 0, 5)]
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_license_candidates_against_full_alignment():
+    """Every template with a fifth of its words altered here and there, alone and among others, against plain LCS of whole texts."""
+    rnd = random.Random(9)
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            words = text.split()
+            free = [i for i, w in enumerate(words) if licenses.normal(w) not in licenses.KEYWORDS]
+            for share in (0, 0.1, 0.19):
+                changed = list(words)
+                for i in rnd.sample(free, int(share * len(words))):
+                    changed[i] = "zzz"
+                got = scanner.scan(pa.array([" ".join(["x y z", *changed, "x y"])]))[0]
+                # altered places of a long template may leave no run that winnowing is sure to keep
+                assert share > 0.1 and len(words) >= licenses.SHORT or [g[0] for g in got] == [name], (text, changed, got)
+
+
 def test_pivot_recall(spark):
     rnd = np.random.default_rng(2)
     x = rnd.standard_normal((400, 16))
