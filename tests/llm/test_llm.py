@@ -314,6 +314,45 @@ def test_short_last_sentence_has_no_veto(spark, tail, glued):
     assert [r.doc_id for r in decontam.clean(frame(spark, texts), bench).orderBy("doc_id").collect()] == [2, 3]
 
 
+def test_wand_retrieves_what_full_scores_retrieve():
+    rnd = random.Random(12)
+    common, vocabulary = [f"c{i}" for i in range(12)], [f"w{i}" for i in range(3000)]
+    item = lambda: " ".join(rnd.choice(common) if rnd.random() < 0.5 else rnd.choice(vocabulary) for _ in range(rnd.randrange(3, 60)))
+    items = [(i, item()) for i in range(700)]
+    index = decontam.ItemIndex(items)
+    texts = []
+    for _ in range(120):
+        words = decontam.tokens(rnd.choice(items)[1])
+        words = [w if rnd.random() < 0.93 else "zz" for w in words]
+        texts.append(" ".join([rnd.choice(common + vocabulary) for _ in range(rnd.randrange(0, 90))] + words + [rnd.choice(common) for _ in range(rnd.randrange(0, 90))]))
+    got = index.matches(pa.array(texts))
+    for text, found in zip(texts, got, strict=True):
+        known = np.unique([index.terms[w] for w in decontam.tokens(text) if w in index.terms])
+        full = np.zeros(len(index.ids))
+        for t in known:
+            full[index.item[index.at[t] : index.at[t + 1]]] += index.weight[index.at[t] : index.at[t + 1]]
+        assert index.retrieve(known) == np.flatnonzero(full >= index.threshold - 1e-6).tolist()
+        want = {i for i, w in enumerate(index.words) if len(s := decontam.shingles(w.tolist(), min(5, len(w)))) * 0.8 <= len(s & decontam.shingles([index.terms.get(x, -1) for x in decontam.tokens(text)], min(5, len(w)))) + 1e-9}
+        assert set(found) <= want
+        for i in want - set(found):  # only the test of question and answer may say no
+            words, cut, held = index.words[i].tolist(), index.cut[i], set(known.tolist())
+            assert len(set(words[:cut]) & held) < 0.5 * len(set(words[:cut])) or len(set(words[cut:]) & held) < 0.5 * len(set(words[cut:]))
+
+
+def test_indexes_of_parts_give_the_same_leaks(spark, monkeypatch):
+    rnd = random.Random(13)
+    items = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(1, 40)))) for i in range(60)]
+    texts = [" ".join([f"w{rnd.randrange(300)}" for _ in range(50)] + rnd.choice(items)[1].split()[1:] + ["x"]) for _ in range(80)]
+    bench = spark.createDataFrame([*items, (99, None), (100, ""), (101, "  ")], "item_id long, text string")
+    one = sorted(map(tuple, decontam.leaks(frame(spark, texts), bench).collect()))
+    monkeypatch.setattr(decontam, "PART_BYTES", 3000)
+    assert len(list(decontam.indexes(bench))) > 2
+    many = sorted(map(tuple, decontam.leaks(frame(spark, texts), bench).collect()))
+    assert one and one == many
+    assert decontam.leaks(frame(spark, []), bench).count() == 0
+    assert decontam.leaks(frame(spark, texts), bench.limit(0)).count() == 0
+
+
 def test_chat(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo</s>\\"), (1, 0, "user", "hi"), (1, 1, "assistant", "other"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo</s>\\"), (3, 0, None, None), (4, 0, "system", "s|>\\\\"), (4, 1, "assistant", "▁ é")]
     where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
