@@ -1,14 +1,19 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks (the text between block-level tags). A classifier gives each block the odds of being
-content: a logistic model over the block's own text and tag, fitted on a bounded sample of pages whose blocks stand
-in containers that say what they are, plus the evidence of the containers around it. These costs are the capacities
-to the two terminals. Neighbours in page order and blocks of one parent are tied by smoothness edges. The minimum
-cut then labels all blocks of the page at once: a short line among paragraphs stays, an advert between them goes.
+A page is cut into blocks (the text between block-level tags). A classifier gives each block the odds of being content:
+a logistic model over the block's text, its tag and its containers (an article or main element, an element for
+boilerplate, a class, id or role that names boilerplate). Its weights are fitted around stated prior weights on a bounded
+sample of pages. The labels come from elements alone: blocks of an article or main element against all others of such a
+page; names in attributes are only features. Pages without such an element use weights fitted without that feature.
+These odds are the capacities to the two terminals. Neighbours in page order and blocks of one parent are tied by
+smoothness edges. The minimum cut then labels all blocks of the page at once: a short line among paragraphs stays, an
+advert between them goes, and a paragraph in a container with an ambiguous name follows its own text and its neighbours.
 
 Defined results: null and empty html give an empty text, as do pages without text; unclosed tags end where HTML
 ends them; a page that breaks off within a tag, comment, script or style loses that part only; very long pages are
-taken whole; repeated rows are extracted alike; an empty table gives no rows.
+taken whole; repeated rows are extracted alike; blocks whose odds and ties are even are left out; an empty table gives no
+rows; columns other than the id and the html are not read, whatever their names; elements hidden by an attribute are no
+text.
 """
 
 from __future__ import annotations
@@ -33,25 +38,38 @@ RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template",
 BOILER = set("nav aside footer form menu button select dialog header fieldset".split())
 CONTENT = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-# fixed values: words in class, id and role that mark boilerplate
+# fixed values: words in class, id and role that mark boilerplate, and those that may stand for content too
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright dialog disclaimer disqus "
-    "footer footnav form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promotions recommended related replies reply respond "
-    "search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar widget widgets alert complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus "
+    "footer footnav gdpr login masthead menu menubar modal nav navbar navigation newsletter overlay pager pagination popup promo promotion promotions "
+    "share sharing sidebar signup skip sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar widget widgets complementary contentinfo".split()
 )
-#: A start tag of one of these ends an open paragraph.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+WEAK = set("alert byline dialog disclaimer form header notice notices notification recommended related replies reply respond search social".split())
+#: Values are quoted only right behind the equals sign; any other quote is text.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_NAMES = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+
+
+@dataclass(frozen=True)
+class Inside:
+    """What an element and those around it say of the text in them."""
+
+    element: str = ""
+    number: int = 0
+    content: bool = False  # an article or main element
+    boiler: bool = False  # an element for boilerplate
+    mark: bool = False  # a name for boilerplate
+    weak: bool = False  # a name that may stand for either
+    hidden: bool = False
+    heading: bool = False
 
 
 @dataclass
 class Block:
     tag: str
     parent: int
-    boiler: bool
-    content: bool
-    heading: bool
+    inside: Inside
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -60,22 +78,30 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def _marks(attributes: str) -> bool:
-    """Whether attributes mark an element as boilerplate or hidden."""
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes mark an element as boilerplate, perhaps as such, or as hidden."""
+    mark = weak = hidden = False
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        name, value = name.lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] else value
         if name in ("class", "id", "role"):
-            if any(w.lower() in MARKS for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value)):
-                return True
+            words = {w.lower() for w in _NAMES.split(value)}
+            mark, weak = mark or bool(words & MARKS), weak or bool(words & WEAK)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            hidden = True
+    return mark, weak, hidden
+
+
+def _enter(around: Inside, name: str, attributes: str, number: int) -> Inside:
+    mark, weak, hidden = _marks(attributes) if name not in ("html", "body", "article", "main") else (False, False, False)
+    # a heading of an article's own header is part of the article
+    boiler = name in BOILER and not (name == "header" and around.content)
+    return Inside(name, number, around.content or name in CONTENT, around.boiler or boiler, around.mark or mark, around.weak or weak, around.hidden or hidden, around.heading or name in HEADINGS)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # element, in boilerplate, in content, number
+    stack = [Inside()]
     seen, links, at, now = 0, 0, 0, None
 
     def write(text: str) -> None:
@@ -83,9 +109,8 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            tag, boiler, content, number = next(s for s in reversed(stack) if s[0] in BLOCKS or not s[0])
-            inner = stack[-1]
-            now = Block(tag, number, boiler or inner[1], content, any(s[0] in HEADINGS for s in stack))
+            around = next(s for s in reversed(stack) if s.element in BLOCKS or not s.element)
+            now = Block(around.element, around.number, stack[-1])
             out.append(now)
         now.parts.append(text)
         now.linked += len(text) if links else 0
@@ -93,8 +118,8 @@ def blocks(page: str) -> list[Block]:
     def close(k: int) -> None:
         nonlocal links, now
         for s in stack[k:]:
-            links -= s[0] == "a"
-            if s[0] in BLOCKS:
+            links -= s.element == "a"
+            if s.element in BLOCKS:
                 now = None
         del stack[k:]
 
@@ -110,7 +135,7 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].element == name), 0)
             if name in BLOCKS:
                 now = None
             if k:
@@ -119,7 +144,7 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             now = None
             for k in range(len(stack) - 1, 0, -1):  # an open paragraph or item ends here
-                open_ = stack[k][0]
+                open_ = stack[k].element
                 if open_ == "p" or open_ == name == "li" or open_ in ("dt", "dd") and name in ("dt", "dd") or open_ in ("td", "th") and name in ("td", "th", "tr") or open_ == name == "tr" or open_ == name == "option":
                     close(k)
                     break
@@ -139,59 +164,78 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else len(page)
         else:
             seen += 1
-            _, boiler, content, _ = stack[-1]
-            # a heading of an article's own header is part of the article
-            own = boiler or (name in BOILER and not (name == "header" and content)) or (name == "header" and content and _marks(m[3])) or (name not in ("html", "body", "article", "main") and _marks(m[3]))
-            stack.append((name, own, content or name in CONTENT, seen))
+            stack.append(_enter(stack[-1], name, m[3], seen))
             links += name == "a"
-    return [b for b in out if b.text]
+    return [b for b in out if not b.inside.hidden and b.text]
 
 
-FEATURES = 7
+#: Prior weights: one, log of words, share of linked text, punctuation a word, paragraph, heading, list item or cell, then
+#: the containers: article or main, element for boilerplate, name for boilerplate, ambiguous name.
+PRIOR = np.array([-2.0, 0.5, -2.0, 1.0, 1.5, 0.5, -0.5, 5.0, -9.0, -9.0, -6.0])
+FEATURES, ARTICLE = len(PRIOR), 7
+#: The prior counts as so large a share of the sample's blocks.
+TRUST = 0.02
+#: Log odds are held within this; ties of neighbours in page order and of one parent.
+CLIP, ADJACENT, SIBLING = 10.0, 1.0, 0.5
 
 
 def features(block: Block) -> list[float]:
-    """What a block shows by itself, without its containers."""
-    text = block.text
+    text, inside = block.text, block.inside
     words = text.split()
     n = max(1, len(text))
-    return [1.0, math.log1p(len(words)), min(1.0, block.linked / n), sum(c in ".,;:!?" for c in text) / max(1, len(words)), float(block.tag in ("p", "pre", "blockquote")), float(block.heading), float(block.tag in ("li", "td", "th"))]
+    own = [1.0, math.log1p(len(words)), min(1.0, block.linked / n), min(1.0, sum(c in ".,;:!?" for c in text) / max(1, len(words))), float(block.tag in ("p", "pre", "blockquote")), float(inside.heading), float(block.tag in ("li", "td", "th"))]
+    return [*own, float(inside.content), float(inside.boiler), float(inside.mark), float(inside.weak)]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Newton steps of a ridge logistic regression."""
-    w = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float, rounds: int = 50) -> np.ndarray:
+    """Newton steps, halved while they do not help, of a logistic regression around prior weights."""
+    w = prior.copy()
+    cost = lambda v: np.logaddexp(0, -(2 * y - 1) * (x @ v)).sum() + 0.5 * ridge * ((v - prior) ** 2).sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * (w - prior))
+        while np.abs(step).max() > 1e-6 and cost(w + step) > cost(w):
+            step /= 2
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(pages: DataFrame, *, column: str = "html", sample_pages: int = 400) -> np.ndarray:
-    """Weights from about `sample_pages` pages: blocks in boilerplate containers against blocks of articles only."""
+@dataclass
+class Weights:
+    """For pages with an article or main element, and for pages without."""
+
+    named: np.ndarray
+    unnamed: np.ndarray
+
+    @classmethod
+    def prior(cls) -> Weights:
+        return cls(PRIOR.copy(), PRIOR.copy())
+
+
+def fit(pages: DataFrame, *, column: str = "html", sample_pages: int = 400) -> Weights:
+    """Weights from about `sample_pages` pages that have an article or main element: its blocks against the others."""
     n = pages.count()
     part = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 30)) / float(1 << 30)
     rows = pages.where(part < min(1.0, sample_pages / max(1, n))).select(F.col(column).cast("string").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [(features(k), float(not k.boiler)) for t in b.column("text").to_pylist() for k in blocks(t or "") if k.boiler or k.content]
-            # one row per kind of block: the sums are bounded by what differs
+            found = []
+            for t in b.column("text").to_pylist():
+                page = blocks(t or "")
+                if any(k.inside.content for k in page):
+                    found += [(features(k), float(k.inside.content and not k.inside.boiler)) for k in page]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.float64())], ["x", "y"])
 
     got = rows.mapInArrow(read, "x array<double>, y double").toArrow()
     if not got.num_rows:
-        return np.zeros(FEATURES)
+        return Weights.prior()
     x, y = np.array(got.column("x").to_pylist()), got.column("y").to_numpy()
-    return fit_logistic(x, y)
-
-
-#: Log odds of containers, above what all ties of a block can add up to; and the ties themselves.
-OUT, IN, ADJACENT, SIBLING = 12.0, 5.0, 1.0, 0.5
-CLIP = 3.0
+    ridge, without = max(1.0, TRUST * len(x)), x.copy()
+    without[:, ARTICLE] = 0
+    return Weights(fit_logistic(x, y, PRIOR, ridge), fit_logistic(without, y, PRIOR, ridge))
 
 
 def min_cut(content: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -257,26 +301,30 @@ def min_cut(content: list[float], ties: list[tuple[int, int, float]]) -> list[bo
                 u = to[path.pop() ^ 1]
 
 
-def extract(page: str | None, weights: np.ndarray) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
-    named = any(b.content and not b.boiler for b in found)
-    odds = np.clip(np.array([features(b) for b in found]) @ weights, -CLIP, CLIP)
-    cost = []
-    for b, o in zip(found, odds.tolist(), strict=True):
-        inside = IN if b.content else -IN if named else 0.0
-        cost.append(-OUT if b.boiler else o + inside)
+def tied(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges of a page's blocks."""
     ties = [(i, i + 1, ADJACENT) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if b.parent in last and last[b.parent] < i - 1:
             ties.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    return "\n\n".join(b.text for b, keep in zip(found, min_cut(cost, ties), strict=True) if keep)
+    return ties
+
+
+def labels(found: list[Block], weights: Weights) -> list[bool]:
+    """Which blocks of a page are content."""
+    x = np.array([features(b) for b in found])
+    odds = np.clip(x @ (weights.named if x[:, ARTICLE].any() else weights.unnamed), -CLIP, CLIP)
+    return min_cut(odds.tolist(), tied(found))
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    found = blocks(page or "")
+    return "\n\n".join(b.text for b, keep in zip(found, labels(found, weights), strict=True) if keep) if found else ""
 
 
-def main_text(pages: DataFrame, weights: np.ndarray, *, id_column: str = "page_id", column: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, weights: Weights, *, id_column: str = "page_id", column: str = "html") -> DataFrame:
     """(page_id, text) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

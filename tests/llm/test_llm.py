@@ -168,9 +168,53 @@ def test_min_cut_is_minimal():
 def test_main_text():
     page = """<html><body><header class="site"><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><div class="content"><article><header><h2>Title &lt;x&gt;</h2></header><p>One <b>two</b>
 three<br>four<p>Short.<aside>side</aside><div class="ad-box">buy</div><form><label>mail</label></form><section id="comments"><p>nice</p></section><p>End &am</article></div><script>if(a<b){}</script><footer>f"""
-    weights = np.zeros(maincontent.FEATURES)
+    weights = maincontent.Weights.prior()
     assert maincontent.extract(page, weights) == "Title <x>\n\nOne two three four\n\nShort.\n\nEnd &am"
     assert [maincontent.extract(x, weights) for x in (None, "", "<p", "<script>x")] == [""] * 4
+    quotes = """<article><p title=John's>lost?</p><p>second it's here</p><p data-x="a>b" title = 'c>d'>third</p></article>"""
+    assert maincontent.extract(quotes, weights) == "lost?\n\nsecond it's here\n\nthird"
+    assert maincontent.extract("<article><p>a</p><p hidden>no</p><p style='display: none'>no</p><p>b</p></article>", weights) == "a\n\nb"
+
+
+PARAGRAPH = "<p>This is a paragraph of some length, with commas, stops, and a good number of words in it. It goes on.</p>"
+
+
+def test_labels_come_through_classifier_and_cut(monkeypatch):
+    prior = maincontent.Weights.prior()
+    page = f"<body><nav><a href=/>Home</a></nav><div>{PARAGRAPH * 2}<div>Hm</div>{PARAGRAPH * 2}</div><div class='ad'>Buy this</div><footer>Imprint</footer></body>"
+    text = "This is a paragraph of some length, with commas, stops, and a good number of words in it. It goes on."
+    assert maincontent.extract(page, prior) == "\n\n".join([text, text, "Hm", text, text])  # a page without an article element
+    # a paragraph in a container with an ambiguous name follows its own text
+    related = f"<article>{PARAGRAPH}<section class='related-work'>{PARAGRAPH}</section>{PARAGRAPH}<div class=related><ul><li><a href=/x>More</a></li></ul></div></article>"
+    assert maincontent.extract(related, prior) == "\n\n".join([text] * 3)
+    # without ties the short block between paragraphs goes
+    with monkeypatch.context() as m:
+        m.setattr(maincontent, "ADJACENT", 0.0)
+        m.setattr(maincontent, "SIBLING", 0.0)
+        assert maincontent.extract(page, prior) == "\n\n".join([text] * 4)
+    # another classifier keeps the other blocks
+    turned = maincontent.Weights(-prior.named, -prior.unnamed)
+    assert maincontent.extract(page, turned) == "Home\n\nBuy this\n\nImprint"
+
+
+def test_page_classifier_learns_from_elements():
+    x = np.array([maincontent.features(b) for b in maincontent.blocks(f"<article>{PARAGRAPH}</article><div>short words</div>")])
+    x, y = np.repeat(x, 200, axis=0), np.repeat([1.0, 0.0], 200)
+    w = maincontent.fit_logistic(x, y, maincontent.PRIOR, 1.0)
+    p = lambda v: 1 / (1 + np.exp(-x @ v))
+    assert np.abs(p(w) - y).max() < np.abs(p(maincontent.PRIOR) - y).max() < 1
+
+
+def test_main_text_of_tables(spark):
+    page = f"<html><body><nav>menu</nav><article><h1>Title</h1>{PARAGRAPH}</article></body></html>"
+    rows = [(0, page, "x"), (1, None, "x"), (2, "", "x"), (3, page, "x"), (None, page, "x"), (5, page.replace("Title", "word " * 50_000), "x")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")  # `text` clashes with the result
+    weights = maincontent.fit(pages)
+    got = sorted(maincontent.main_text(pages, weights).collect(), key=lambda r: (r.page_id is None, r.page_id))
+    assert [r.text[:7] for r in got] == ["Title\n\n", "", "", "Title\n\n", "word wo", "Title\n\n"] and got[0].text == got[3].text == got[5].text
+    assert len(got[4].text) > 249_999 + 50
+    empty = spark.createDataFrame([], pages.schema)
+    assert maincontent.main_text(empty, maincontent.fit(empty)).count() == 0
 
 
 def test_license_scan(spark):
