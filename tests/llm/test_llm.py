@@ -12,6 +12,8 @@ pytest.importorskip("tallymark.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tallymark.llm import chat, components, decontam, langid, licenses, lm, maincontent, minhash, pieces, pivots, sharding  # noqa: E402
+from pyspark.sql.functions import lit as docs_lit  # noqa: E402
+
 from tallymark.llm.common import Scratch  # noqa: E402
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -279,18 +281,49 @@ def test_lm(spark):
         assert rows[i].score < 0
 
 
-def test_lm_counts_all_rows(spark, monkeypatch):
-    """Subword counts come from every training row, whatever the sample, and the network's sample grows."""
+def test_lm_learns_from_all_rows(spark, monkeypatch):
+    """Subword counts and windows come from every training row; shards grow with them, and what they change is averaged."""
     rare = ["Quixotic zephyr", "xylophone", "bandwagon quagmire"]
     docs = frame(spark, ["the cat sat on the mat"] * 400 + rare)
-    read, sample = [], lm._sample
-    monkeypatch.setattr(lm, "_sample", lambda model, texts: read.append(len(texts)) or sample(model, texts))
-    model, _ = lm.fit(docs, docs.doc_id >= 0, MODEL, Scratch(spark, "t"), sample_docs=20, steps=1)
+    monkeypatch.setattr(lm, "SHARD", 150)
+    seen = []
+    learn = lm._learn
+    monkeypatch.setattr(lm, "_learn", lambda windows, *rest: seen.append(windows.count()) or learn(windows, *rest))
+    model, _ = lm.fit(docs, docs.doc_id >= 0, MODEL, Scratch(spark, "t"), steps=3, rounds=2)
     ids = pieces.codec(MODEL).encode([" ".join(rare).lower()])[0]
-    assert (model.place[ids] < lm.SHORT).all()
-    monkeypatch.setattr(lm, "GROWS", 4)
-    lm.fit(docs, docs.doc_id >= 0, MODEL, Scratch(spark, "t"), sample_docs=20, steps=1)
-    assert read[1] > 4 * read[0] > 0
+    assert (model.place[ids] < lm.SHORT).all() and seen == [403]
+    fresh = lm.Attention(model.net.outputs, inputs=model.net.begin)
+    assert not np.allclose(model.net.p["U"], fresh.p["U"]) and all(np.isfinite(v).all() for v in model.net.p.values())
+
+
+def test_lm_is_above_the_base_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    training = docs.doc_id % 5 != 1
+    model, counts = lm.fit(docs, training, MODEL, Scratch(spark, "t"))
+    rows = [r for r in lm.score(docs, model, counts, Scratch(spark, "t")).collect() if r.doc_id % 5 == 1]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert model.mix[1] > 0.5  # the attention model carries the score
+
+
+def test_lm_classes_split_ids_by_their_neighbours():
+    r = np.random.default_rng(0)
+    kind = r.integers(0, 3, 300)
+    beside = r.poisson(np.eye(3)[kind].repeat(4, axis=1) * 20 + 0.2).astype(float)
+    label = lm.classes(beside, np.ones(300), 3)
+    assert len({(a, b) for a, b in zip(kind.tolist(), label.tolist(), strict=True)}) == 3
+    assert lm.classes(np.zeros((4, 5)), np.zeros(4), 3).tolist() == [0] * 4
+
+
+def test_lm_of_odd_tables(spark):
+    docs = frame(spark, [*ODD, "long" * 50_000, "a b c"]).withColumn("row", docs_lit(1)).withColumn("word", docs_lit("x"))
+    model, counts = lm.fit(docs, docs.doc_id != len(ODD), MODEL, Scratch(spark, "t"), steps=3)
+    rows = lm.score(docs, model, counts, Scratch(spark, "t")).collect()
+    assert len(rows) == len(ODD) + 2 and all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    assert min(r.score for r in rows) < -300  # a word below the smallest double keeps its length
+    nothing = docs.limit(0)
+    assert lm.score(nothing, model, counts, Scratch(spark, "t")).count() == 0
+    untrained, none = lm.fit(docs, docs.doc_id < 0, MODEL, Scratch(spark, "t"), steps=3)
+    assert untrained.total == 0 and all(math.isfinite(r.score) and r.n_known == 0 for r in lm.score(docs, untrained, none, Scratch(spark, "t")).collect())
 
 
 def test_lm_tells_rare_inputs_apart():
