@@ -47,6 +47,8 @@ K1, B = 1.2, 0.75
 #: Items of a block. Terms in no more items than RARE are rare.
 BLOCK, RARE = 16, 32
 PART_BYTES = 64_000_000
+#: Bytes of text that are looked up at once: bounds the arrays by word and by posting.
+SLICE = 2_000_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -270,7 +272,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
+            for b in slices(batches, limit=SLICE):
                 found = shared.value.matches(b.column("text"))
                 rows = [(d, shared.value.ids[i], *x) for d, m in zip(b.column("doc_id").to_pylist(), found, strict=True) for i, x in sorted(m.items())]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -289,7 +291,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
+            for b in slices(batches, limit=SLICE):
                 yield b.filter(pa.array([not m for m in shared.value.matches(b.column("text"))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

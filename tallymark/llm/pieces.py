@@ -184,21 +184,29 @@ class PieceCodec:
 
     def _learn(self, tokens: list[str]) -> np.ndarray:
         """Places in the store of tokens, which are cut where no merge can cross."""
-        new = [t for t in tokens if t not in self.known]
-        if new:
+        known = self.known
+        place = np.array([known.get(t, -1) for t in tokens], dtype=np.int64)
+        missing = np.flatnonzero(place < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([tokens[i] for i in missing]))
             split = [self.cut.findall(t) for t in new]
-            parts = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-            ids, counts = self.merge(list(parts)) if parts else (np.empty(0, np.int32), np.empty(0, np.int64))
-            order = np.array([parts[w] for ws in split for w in ws], dtype=np.int64)
-            begin, lens = (np.cumsum(counts) - counts)[order], counts[order]
-            ids = ids[_spans(begin, lens)]
-            of_token = np.repeat(np.arange(len(new)), [len(ws) for ws in split])
-            lens = np.bincount(of_token, lens, len(new)).astype(np.int64)
-            self.known.update(zip(new, range(len(self.lens), len(self.lens) + len(new)), strict=True))
+            if max(map(len, split)) <= 1 and all(split):  # no token is cut
+                ids, lens = self.merge([ws[0] for ws in split])
+                lens = lens.astype(np.int64)
+            else:
+                parts = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+                ids, counts = self.merge(list(parts)) if parts else (np.empty(0, np.int32), np.empty(0, np.int64))
+                order = np.array([parts[w] for ws in split for w in ws], dtype=np.int64)
+                begin, lens = (np.cumsum(counts) - counts)[order], counts[order]
+                ids = ids[_spans(begin, lens)]
+                of_token = np.repeat(np.arange(len(new)), [len(ws) for ws in split])
+                lens = np.bincount(of_token, lens, len(new)).astype(np.int64)
+            known.update(zip(new, range(len(self.lens), len(self.lens) + len(new)), strict=True))
             self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lens) - lens]
             self.lens = np.r_[self.lens, lens]
             self.flat = np.r_[self.flat, ids]
-        return np.array([self.known[t] for t in tokens], dtype=np.int64)
+            place[missing] = [known[tokens[i]] for i in missing]
+        return place
 
     def encode(self, texts: pa.Array | list[str | None], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's begin (one more entry than texts)."""
