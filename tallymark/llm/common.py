@@ -61,7 +61,7 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the strings of one column take about `limit` bytes each, one row at least."""
     for batch in batches:
         if not batch.num_rows:
