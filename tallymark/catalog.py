@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import links, names
 from .functions.similarity import score_pairs, trigrams
-from .operators import coverage, facts, fit, phrases, resolve
+from .operators import coverage, facts, fit, gates, phrases, resolve, store
 from .sources import registers
 from .streaming import usage
 
@@ -395,7 +395,7 @@ _US = "select cast(1990 + s_suppkey % 30 as string) as `Fiscal Year`, s_name as
 
 @query(_US, "select s_name as company_name, 'US' as country, cast(1990 + s_suppkey % 30 as int) as year, m as metric, cast(case m when 'initial_approvals' then s_suppkey % 4 when 'initial_denials' then 0 when 'continuing_approvals' then 1000 else s_nationkey end as double) as value, 'us_petitions' as source_id from supplier, (select unnest(['initial_approvals', 'initial_denials', 'continuing_approvals', 'continuing_denials']) as m) x")
 def ingest_us(rows, _):
-    return registers.petitions(rows, "2024-12-31").drop("published_date").withColumn("value", F.col("value").cast("double"))
+    return registers.petitions(rows, "2024-12-31").drop("published_date", "extra").withColumn("value", F.col("value").cast("double"))
 
 
 _GB = "select c_name as `Organisation Name`, case c_custkey % 3 when 0 then 'Skilled Worker' when 1 then 'Creative Worker' else '' end as Route from customer"
@@ -464,6 +464,188 @@ def mismatch_report(rows, _):
     return rows.select("page_id", links.mismatch_report("owner/repo", name, F.upper(name), F.col("url"), "_No page contents are included._").alias("url"))
 
 
+_TOWNS = "select concat('Org ', c_custkey % 50) as `Organisation Name`, concat('Worker (', case c_custkey % 50 % 2 when 0 then 'A' else 'B' end, ' rating)') as `Type & Rating`, case c_custkey % 50 % 3 when 0 then '' else concat('Town ', c_custkey % 50) end as `Town/City` from customer"
+
+
+@query(_TOWNS, "select distinct concat('Org ', c_custkey % 50) as company_name, concat('Worker (', case c_custkey % 50 % 2 when 0 then 'A' else 'B' end, ' rating)') as rating, case c_custkey % 50 % 3 when 0 then null else concat('Town ', c_custkey % 50) end as city, null::varchar as route from customer")
+def register_extras(rows, _):
+    """A register without a route column: every organisation qualifies, and its other cells are kept."""
+    extra = registers.register(rows, "2024-12-31")
+    return extra.select("company_name", *[F.col("extra")[k].alias(k) for k in ("rating", "city", "route")])
+
+
+_PROVINCES = "select concat('Firm ', c_custkey % 40) as Employer, cast(c_custkey % 7 as string) as `Approved Positions`, case when c_custkey % 40 % 4 = 0 then 'nan' else concat('P', c_custkey % 40 % 4) end as Province from customer"
+
+
+@query(_PROVINCES, "select concat('Firm ', c_custkey % 40) as company_name, 'positions' as metric, cast(sum(c_custkey % 7) as double) as value, case when c_custkey % 40 % 4 = 0 then null else concat('P', c_custkey % 40 % 4) end as province from customer group by all having sum(c_custkey % 7) > 0")
+def assessment_extras(rows, _):
+    """A file without assessment counts: positions only, with the first province."""
+    return registers.assessments(rows, "2024-12-31").select("company_name", "metric", F.col("value").cast("double").alias("value"), F.col("extra")["province"].alias("province"))
+
+
+_SHOWN = "select s_suppkey as id, case s_suppkey % 5 when 0 then concat('Firm ', s_suppkey, ' Firm ', s_suppkey) when 1 then concat('  Firm   ', s_suppkey, ' · Berlin') when 2 then concat('Firm 12,', s_suppkey + 100, ' followers on board') when 3 then concat('Firm ', s_suppkey, ' (Verified) ') else concat('Firm ', s_suppkey, ' Works') end as shown from supplier"
+
+
+@query(_SHOWN, "select s_suppkey as id, case s_suppkey % 5 when 2 then 'Firm' when 4 then concat('Firm ', s_suppkey, ' Works') else concat('Firm ', s_suppkey) end as name from supplier")
+def clean_company_names(rows, _):
+    return rows.select("id", names.clean_company(F.col("shown")).alias("name"))
+
+
+@query(COMPANIES, f"select company_id, concat('company:', normalized_name, ':', country, ':*') as server_key, concat('verdict:', lower(canonical_name), ':', country) as client_key from ({COMPANIES}) c")
+def cache_keys(rows, _):
+    return rows.select("company_id", store.server_key(F.col("canonical_name"), F.col("country"), F.lit("")).alias("server_key"), store.client_key(F.col("canonical_name"), F.col("country")).alias("client_key"))
+
+
+_BATCH = f"select name as company_name, coalesce(country, 'US') as country, 'us_petitions' as source_id, query_id % 7 as n, domain from ({QUERIES}) q"
+_PLAIN = "trim(regexp_replace(lower(company_name), ' (limited|corp)$', ''))"
+
+
+@query(_BATCH, f"""with r as (select {_PLAIN} as normalized_name, country, min(company_name) as canonical_name from ({_BATCH}) b group by all), c as ({COMPANIES})
+ select normalized_name, country, canonical_name, false as is_new from c union all
+ select normalized_name, country, canonical_name, true from r where not exists (select 1 from c where c.normalized_name = r.normalized_name and c.country = r.country)""")
+def company_batch_load(rows, read):
+    before = read(COMPANIES)
+    after = store.upsert_companies(before, rows).join(before.select("company_id", F.lit(False).alias("old")), "company_id", "left")
+    return after.select("normalized_name", "country", "canonical_name", F.col("old").isNull().alias("is_new"))
+
+
+_ALIASED = f"select canonical_name as company_name, country, 'us_petitions' as source_id, array(concat(' alias ', normalized_name, ' Inc'), canonical_name, ' ') as aliases, array(concat(' WWW.S', company_id, '.example.com'), '') as domains from ({COMPANIES}) c"
+
+
+@query(_ALIASED, f"select company_id, concat('alias ', normalized_name, ' Inc') as alias, concat('alias ', normalized_name) as normalized_alias, 'etl:us_petitions' as source from ({COMPANIES}) c where company_id % 3 <> 0")
+def alias_inserts(rows, read):
+    held = read(COMPANIES).where("company_id % 3 = 0").selectExpr("company_id", "concat('alias ', normalized_name) as normalized_alias")
+    return store.new_aliases(rows, read(COMPANIES), held)
+
+
+@query(_ALIASED, f"select distinct c.company_id, concat('s', r.company_id, '.example.com') as domain from ({COMPANIES}) r join ({COMPANIES}) c using (normalized_name, country) where not (c.company_id % 4 = 0 and r.company_id = c.company_id)")
+def domain_inserts(rows, read):
+    held = read(COMPANIES).where("company_id % 4 = 0").selectExpr("company_id", "concat('s', company_id, '.example.com') as domain")
+    return store.new_domains(rows, read(COMPANIES), held)
+
+
+_SOURCES = "select l_returnflag as id, concat('Register ', l_returnflag) as label, case l_returnflag when 'A' then 'US' when 'N' then 'GB' else 'CA' end as country from lineitem group by l_returnflag"
+
+
+@query(LONG, f"select company_id, source_id, concat('Register ', source_id) as label, count(*) as n from ({LONG}) l group by all")
+def facts_with_source(rows, read):
+    return store.known_sources(rows, read(_SOURCES)).groupBy("company_id", "source_id", "label").agg(F.count("*").alias("n"))
+
+
+@query("select l_returnflag as source_id, cast(l_shipdate as date) as published_date, case when l_returnflag = 'R' and l_linenumber = 7 then 'bad row' end as failure from lineitem", "select l_returnflag as source_id, case l_returnflag when 'R' then 'failed' else 'success' end as status, case l_returnflag when 'R' then 0 else count(*) end as rows_ingested, case l_returnflag when 'R' then null else max(cast(l_shipdate as date)) end as published_date, case l_returnflag when 'R' then 'bad row' end as notes from lineitem group by l_returnflag")
+def run_audits(rows, _):
+    return store.run_audit(rows, F.current_timestamp(), F.col("failure")).drop("started_at")
+
+
+_ASKS = "select c_custkey as id, case c_custkey % 6 when 0 then '' when 1 then repeat('x', 301) when 2 then null else c_name end as name, case c_custkey % 5 when 0 then 'USA' when 1 then 'U' when 2 then 'US' end as country, case when c_custkey % 11 = 0 then repeat('d', 256) else 'a.example' end as domain from customer"
+
+
+@query(_ASKS, f"select id, case when name is null or length(name) not between 1 and 300 then 'name' when length(country) <> 2 then 'country' when length(domain) > 255 then 'domain' end as fault from ({_ASKS}) a")
+def request_faults(rows, _):
+    return rows.select("id", gates.request_fault(F.col("name"), F.col("country"), F.col("domain")).alias("fault"))
+
+
+_VERDICTS = "select o_orderkey as id, case o_orderkey % 5 when 0 then 'verified' when 1 then 'no_record' when 2 then 'does_not_sponsor' when 3 then 'error' else 'odd' end as kind, o_orderkey % 7 as a, o_orderkey % 3 as b from orders"
+
+
+@query(_VERDICTS, f"""select id, case kind when 'verified' then case when a = 0 or b = 0 then 'unexpected response' when b = 1 then 'data without a source' end when 'no_record' then case when a = 0 then 'unexpected response' end
+ when 'does_not_sponsor' then case when a = 0 or b = 0 then 'unexpected response' end when 'error' then null else 'unexpected response' end as fault from ({_VERDICTS}) v""")
+def verdict_faults(rows, _):
+    given = F.when(F.col("a") != 0, F.lit("x"))
+    records = F.when(F.col("b") != 0, F.array(F.array(F.lit("s")), F.when(F.col("b") == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("s")))))
+    return rows.select("id", gates.verdict_fault(F.col("kind"), given, records, given, F.when(F.col("b") != 0, F.array(F.lit("s")))).alias("fault"))
+
+
+_TRIES = "select doc_id, doc_id % 5 <> 0 as enabled, case when doc_id % 3 = 0 then null else 'resume' end as resume, case when doc_id % 7 = 0 then null else text end as text from documents"
+
+
+@query(_TRIES, f"select doc_id, case when not enabled then 'disabled' when resume is null then 'no_resume' when length(trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12) || chr(160) || chr(65279))) < 200 then 'no_description' end as reason from ({_TRIES}) t")
+def match_reasons(rows, _):
+    return rows.select("doc_id", gates.match_reason(F.col("enabled"), F.col("resume"), F.col("text")).alias("reason"))
+
+
+_ADDRESSES = "select s_suppkey as id, case s_suppkey % 6 when 0 then concat('https://s', s_suppkey, '.example.com/x') when 1 then 'http://localhost:8080/api' when 2 then 'http://127.0.0.1/' when 3 then concat('http://s', s_suppkey, '.example.com') when 4 then 'not a url' else 'ftp://x.example' end as url from supplier"
+
+
+@query(_ADDRESSES, f"select id, (url like 'https://%' or url like 'http://localhost%' or url like 'http://127.0.0.1%') as safe from ({_ADDRESSES}) a")
+def safe_urls(rows, _):
+    return rows.select("id", gates.safe_url(F.col("url")).alias("safe"))
+
+
+@query("select doc_id, text from documents", "select doc_id, md5(substr(trim(regexp_replace(text, '[\\s\\x{00A0}\\x{FEFF}\\x{000B}]+', ' ', 'g')), 1, 4000)) as digest from documents")
+def embedding_texts(rows, _):
+    return rows.select("doc_id", F.md5(gates.for_embedding(F.col("text")).cast("binary")).alias("digest"))
+
+
+_FITS = "select s_suppkey as id, concat('alpha beta gamma ', case when s_suppkey % 2 = 0 then 'delta' else 'omega' end) as resume, 'alpha alpha delta delta kappa kappa lambda lambda' as posting, array(1.0d, 0.0d) as resume_vector, case s_suppkey % 3 when 0 then array(1.0d, 0.0d) when 1 then array(1.0d, 1.5d) else array(0.0d, 1.0d) end as posting_vector from supplier"
+
+
+@query(_FITS, """select s_suppkey as id, case s_suppkey % 3 when 0 then 100 when 1 then 61 else 0 end as score, case s_suppkey % 3 when 0 then 'strong' when 1 then 'moderate' else 'weak' end as band,
+ concat(case s_suppkey % 3 when 0 then 'Your resume reads as closely related to this posting.' when 1 then 'Your resume overlaps with this posting in places.' else 'Your resume and this posting have little language in common.' end,
+ case s_suppkey % 2 when 0 then ' Shared emphasis: alpha, delta. The posting stresses kappa, lambda, which' else ' Shared emphasis: alpha. The posting stresses delta, kappa, lambda, which' end, ' your resume does not mention. This compares wording, not qualifications.') as rationale,
+ case s_suppkey % 2 when 0 then 'kappa lambda' else 'delta kappa lambda' end as gaps from supplier""")
+def fit_matches(rows, _):
+    return fit.matches(rows).withColumn("gaps", F.array_join("gaps", " "))
+
+
+_RESUMES = "select c_custkey as resume_id, c_name as text, timestamp'2024-01-01 00:00:00' as updated_at, array(1.0d) as vector from customer"
+
+
+@query(_RESUMES, "select c_custkey as resume_id, case when c_custkey % 4 = 0 then concat(c_name, ' edited') else c_name end as text, c_custkey % 4 <> 0 as has_vector from customer where c_custkey % 9 <> 0")
+def resume_states(rows, _):
+    edits = rows.where("resume_id % 4 = 0").select("resume_id", F.concat("text", F.lit(" edited")).alias("text"), F.lit("2024-02-01").cast("timestamp").alias("updated_at"))
+    saved = store.save_resumes(rows, edits)
+    kept, _ = store.delete_resumes(saved, saved.select("resume_id"), rows.where("resume_id % 9 = 0").select("resume_id"))
+    return kept.select("resume_id", "text", F.col("vector").isNotNull().alias("has_vector"))
+
+
+_ANALYSES = "select o_orderkey % 50 as job_key, o_custkey as resume_id, timestamp'2024-01-01 00:00:00' as resume_version, o_orderkey as stored_at, o_orderkey as score from orders"
+
+
+@query(_ANALYSES, "select o_orderkey % 50 as job_key, o_custkey as resume_id, max(o_orderkey) as score from orders where o_custkey % 4 <> 0 group by all")
+def fresh_analyses(rows, read):
+    """Analyses of resumes that were edited since do not count."""
+    resumes = read(_RESUMES).withColumn("updated_at", F.when(F.col("resume_id") % 4 == 0, F.lit("2024-02-01").cast("timestamp")).otherwise(F.col("updated_at")))
+    return store.current_analyses(rows, resumes).select("job_key", "resume_id", "score")
+
+
+@query("select user_id, event_type as name, cast(ts as timestamp) as ts from events", "select concat('verdict:', event_type, ':*') as key, max(cast(ts as timestamp)) as stored_at, max(cast(ts as timestamp)) + interval 1 day as expires_at from events group by 1")
+def cache_writes(rows, _):
+    return store.cache_entries(rows, store.client_key(F.col("name"), F.lit(None).cast("string")), "ts").drop("payload")
+
+
+@query("select event_id as key, event_id % 3 as version from events", "select event_id as key, event_id % 3 as version from events where event_id % 3 = 2")
+def migrated_caches(rows, _):
+    return store.migrate(rows, 2)
+
+
+# fixed values: countries with a register, and their names
+COVERED = {"US": "United States", "GB": "United Kingdom", "CA": "Canada"}
+
+
+@query("select s_suppkey, case s_nationkey % 4 when 0 then 'US' when 1 then 'GB' when 2 then 'DE' else null end as code from supplier", "select s_suppkey, s_nationkey % 4 in (0, 1) as covered, case s_nationkey % 4 when 0 then 'United States' when 1 then 'United Kingdom' when 2 then 'DE' end as label from supplier")
+def country_labels(rows, _):
+    label = F.coalesce(*[F.when(F.col("code") == k, v) for k, v in COVERED.items()], F.col("code"))
+    return rows.select("s_suppkey", F.coalesce(F.col("code").isin(*COVERED), F.lit(False)).alias("covered"), label.alias("label"))
+
+
+@query("select s_suppkey, concat('Firm ', s_suppkey, ' & Co') as firm from supplier", f"select s_suppkey, role, concat('https://www.linkedin.com/search/results/people/?keywords=Firm+', s_suppkey, '+%26+Co+', replace(keywords, ' ', '+')) as url from supplier, ({_ROLES}) r")
+def referral_links_unscoped(rows, _):
+    """Without a company page: a search for the name and the role."""
+    roles = F.explode(F.array(*[F.struct(F.lit(a).alias("role"), F.lit(b).alias("keywords")) for a, b in ROLES]))
+    search = F.url_encode(F.concat_ws(" ", "firm", "r.keywords"))
+    return rows.withColumn("r", roles).select("s_suppkey", "r.role", F.concat(F.lit("https://www.linkedin.com/search/results/people/?keywords="), search).alias("url"))
+
+
+@query(QUERIES, f"""with m as ({_MATCHED}), l as ({LONG}) select q.query_id, l.country, cast(round(sum(case when metric = 'approvals' then value else 0 end), 2) as double) as approvals, count(distinct year) as n_years, count(distinct source_id) as n_sources
+ from ({QUERIES}) q join m using (query_id) join l on l.company_id = m.company_id where q.country is null or q.country = l.country group by all""")
+def verdict_records(rows, read):
+    """The nested records of the countries that a query asks for."""
+    exact = rows.withColumn("normalized_name", names.normalize(F.col("name"))).join(read(COMPANIES).select("company_id", "normalized_name"), "normalized_name")
+    found = facts.verdict_records(rows, exact.groupBy("query_id").agg(F.min("company_id").alias("company_id")), read(LONG))
+    return found.select("query_id", "country", F.col("metrics")["approvals"].cast("double").alias("approvals"), F.size("years").cast("long").alias("n_years"), F.size("sources").cast("long").alias("n_sources"))
+
+
 def queries() -> dict:
     return dict(REGISTRY)
 

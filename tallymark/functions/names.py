@@ -91,3 +91,12 @@ def to_int(c: Column) -> Column:
     """Cells of published sheets: commas go, blanks and placeholders are 0, fractions are cut off."""
     number = F.expr("null").cast("double") if c is None else F.regexp_replace(F.btrim(c), ",", "").try_cast("double")
     return F.when(number.isNull() | F.isnan(number) | (F.abs(number) > 9e15), F.lit(0)).otherwise(number).cast("long")
+
+
+def clean_company(c: Column) -> Column:
+    """A company's name as a page shows it, without counts, marks and its exact doubling."""
+    text = F.btrim(F.regexp_replace(c, r"[\s\u00a0\ufeff]+", " "))
+    text = F.regexp_replace(text, r"\s*·.*$", "")
+    text = F.regexp_replace(text, r"(?i)\s*\d[\d,.]*\s*(followers?|employees?).*$", "")
+    text = F.regexp_replace(text, r"(?i)\s*\(verified\)\s*$", "")
+    return F.btrim(F.regexp_replace(text, r"^(.+) \1$", "$1"))

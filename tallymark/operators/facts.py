@@ -46,6 +46,14 @@ def verdicts(queries: DataFrame, matches: DataFrame, stats: DataFrame) -> DataFr
     return rows.select("query_id", kind.alias("kind"), *[F.when(shown, F.col(c)).alias(c) for c in ("company_id", "confidence", "n_facts", "total_value", "published_date")])
 
 
+def verdict_records(queries: DataFrame, matches: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, country, metrics, years, sources): the records of a matched company in the countries that were asked
+    (`country` of the query, all where it is null)."""
+    asked = queries.select("query_id", F.col("country").alias("asked")).join(matches.select("query_id", "company_id"), "query_id")
+    shown = asked.join(records(stats), "company_id").where("asked is null or asked = country")
+    return shown.select("query_id", "country", "metrics", "years", "sources")
+
+
 def first_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each key."""
     rest = [c for c in rows.columns if c not in key]

@@ -12,6 +12,7 @@ STOP = (
     "company companies year years experience experienced strong excellent good ability able help helps helping including include includes new great looking join joining candidate candidates applicant applicants "
     "position positions job jobs opportunity opportunities responsibilities requirements qualifications preferred required plus benefits salary apply"
 ).split()
+# fixed values: section headings, short titles and list marks
 HEADING = r"(?i)\b(requirements?|qualifications?|what you.{0,3}ll (?:need|bring|do)|who you are|must have|we.{0,3}re looking for|skills?|about you|basic qualifications?|minimum qualifications?|nice to have|preferred)\b"
 TITLE = r"^[A-Z][^.!?]{0,60}:?$"
 BULLET = r"^\s*(?:[-–—*•‣▪]|\d+[.)])\s+"
@@ -62,4 +63,33 @@ def fit_score(similarity: Column) -> Column:
 
 
 def fit_band(score: Column) -> Column:
-    return F.when(score >= 70, "strong").when(score >= 40, "partial").otherwise("weak")
+    return F.when(score >= 70, "strong").when(score >= 40, "moderate").otherwise("weak")
+
+
+# fixed values: what a band says, and the sentences around the terms
+OPENINGS = {
+    "strong": "Your resume reads as closely related to this posting.",
+    "moderate": "Your resume overlaps with this posting in places.",
+    "weak": "Your resume and this posting have little language in common.",
+}
+SHARED, STRESSED, CAVEAT = ("Shared emphasis: ", "."), ("The posting stresses ", ", which your resume does not mention."), "This compares wording, not qualifications."
+
+
+def rationale(band: Column, overlaps: Column, gaps: Column, most: int = 4) -> Column:
+    """The score in words: an opening, up to `most` shared and missing terms, and a caveat."""
+    opening = F.coalesce(*[F.when(band == b, t) for b, t in OPENINGS.items()])
+    some = lambda c, around: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.concat(F.lit(around[0]), F.array_join(F.slice(c, 1, most), ", "), F.lit(around[1])))
+    return F.concat_ws(" ", opening, some(overlaps, SHARED), some(gaps, STRESSED), F.lit(CAVEAT))
+
+
+def matches(pairs: DataFrame) -> DataFrame:
+    """(id, score, band, rationale, gaps) of pairs (id, resume, posting, resume_vector, posting_vector)."""
+    rows = pairs.select("id", terms(F.col("resume")).alias("have"), terms(F.col("posting")).alias("asked"), fit_score(cosine(F.col("resume_vector"), F.col("posting_vector"))).alias("score"))
+    each = rows.select("id", "have", F.explode("asked").alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"), F.coalesce(F.any_value(F.array_contains("have", F.col("term"))), F.lit(False)).alias("held"))
+    ranked = lambda some, least, limit, name: (
+        _top(each.where(some & (F.col("n") >= least)).select("id", "term", "n"), limit)
+        .groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias(name))
+    )
+    rows = rows.select("id", "score", fit_band(F.col("score")).alias("band")).join(ranked(~F.col("held"), 2, 6, "gaps"), "id", "left").join(ranked(F.col("held"), 1, 5, "overlaps"), "id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("id", "score", "band", rationale(F.col("band"), F.col("overlaps"), F.col("gaps")).alias("rationale"), F.coalesce("gaps", none).alias("gaps"))
