@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import links, names
+from .functions import links, names, places
 from .functions.similarity import score_pairs, trigrams
 from .operators import coverage, facts, fit, gates, phrases, resolve, store
-from .sources import registers
+from .sources import pages, registers
 from .streaming import usage
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -352,32 +352,39 @@ def fit_bands(rows, _):
     return rows.select("p_partkey", fit.fit_score(F.col("s").cast("double")).alias("score"))
 
 
-COUNTRIES = [("united states|usa|u\\.s\\.a?\\.?|america", "US"), ("united kingdom|england|scotland|wales|northern ireland|u\\.k\\.?|uk", "GB"), ("canada", "CA"), ("india|bharat", "IN"), ("germany|deutschland", "DE"), ("ireland", "IE"), ("australia", "AU"), ("netherlands|holland", "NL"), ("singapore", "SG"), ("france", "FR"), ("spain", "ES"), ("switzerland", "CH"), ("sweden", "SE"), ("poland", "PL"), ("new zealand", "NZ"), ("japan", "JP"), ("brazil|brasil", "BR"), ("mexico", "MX"), ("united arab emirates|uae|dubai|abu dhabi", "AE")]  # fixed values
-STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
-PROVINCES = "AB BC MB NB NL NS NT NU ON PE QC SK YT".split()
+@query(LOCATIONS, "select c_custkey as id, case c_custkey % 9 when 0 then 'US' when 1 then 'CA' when 2 then 'GB' when 3 then 'DE' when 5 then 'US' when 6 then 'IE' when 7 then 'AU' when 8 then 'CA' end as country from customer")
+def infer_country(rows, _):
+    return rows.select("id", places.infer_country(F.col("location")).alias("country"))
 
 
-def infer_country_of(c):
-    """A country's name anywhere, else the first state or province code among the words."""
-    out = None
-    for pattern, code in COUNTRIES:
-        hit = c.rlike(phrases.ascii_edges(rf"\b(?:{pattern})\b"))
-        out = F.when(hit, code) if out is None else out.when(hit, code)
-    codes = F.filter(F.transform(F.split(F.upper(c), r"[,\s]+"), lambda t: F.when(t.isin(STATES), F.lit("US")).when(t.isin(PROVINCES), F.lit("CA"))), lambda x: x.isNotNull())
-    return out.otherwise(F.try_element_at(codes, F.lit(1)))
+@query(URLS, f"select page_id, case when regexp_matches(url, 'com/company/[^/?#]+') then 'company' when regexp_matches(url, 'com/jobs(/|$)') then 'job_posting' end as page_type, coalesce(nullif(regexp_extract(url, 'currentJobId=(\\d+)', 1), ''), nullif(regexp_extract(url, '/jobs/view/(\\d+)', 1), '')) as job_key from ({URLS}) u")
+def page_types(rows, _):
+    key = F.replace(pages.job_key(F.col("url"), F.lit(None).cast("string")), F.lit("linkedin:job:"))
+    return rows.select("page_id", F.when(pages.board(F.col("url")).isNotNull(), pages.page_type(F.col("url"))).alias("page_type"), key.alias("job_key"))
 
 
-@query(LOCATIONS, "select c_custkey as id, case c_custkey % 9 when 0 then 'US' when 1 then 'CA' when 2 then 'GB' when 3 then 'DE' when 5 then 'US' when 6 then 'IE' when 7 then 'AU' when 8 then 'CA' end as country from customer")
-def infer_country(rows, _):
-    return rows.select("id", infer_country_of(F.col("location")).alias("country"))
+_FILLER = "We build things and look for people who like to build them with us. "
+PAGES = f"""select page_id, url, concat(case when page_id % 3 = 0 then concat('<div class="job-details-jobs-unified-top-card__container--two-pane"><div class="job-details-jobs-unified-top-card__job-title"><h1>Engineer ', page_id,
+ '</h1></div><div class="job-details-jobs-unified-top-card__company-name"><a href="/company/acme-', page_id, '/life/">Acme ', page_id, ' Acme ', page_id, '</a></div><div class="job-details-jobs-unified-top-card__primary-description-container"> Austin, TX · 2 days ago</div></div>
+ <div class="org-top-card"><div class="org-top-card-summary__title">Org  ', page_id, '</div><div class="org-top-card-primary-actions"><a href="https://www.linkedin.com/redir?url=https%3A%2F%2Fwww.org', page_id, '.example.com%2F">site</a><a href="http://org', page_id, '.example.com/x">site</a></div></div>
+ <div class="jobs-description__content"><p>We are', chr(10), 'hiring.</p><ul><li>Go &amp; SQL</li><li>Visa sponsorship available</li></ul><script>var a = 1</script></div>')
+ when page_id % 3 = 1 then concat('<aside><a href="/company/other/">Other</a></aside><main><div><h1 class="x1">Lead ', page_id, '</h1><a href="/company/firm-', page_id, '"><img></a><a href="/company/firm-', page_id, '/?trk=x">Firm ', page_id, '</a></div><div class="x2"><p>', repeat('{_FILLER}', 8), '</p></div></main>')
+ else '' end, html) as html from ({URLS}) u join (select page_id as id, html from pages) p on id = page_id"""
+_PAGE = f"select *, page_id % 3 as t, regexp_matches(url, '/company/') as firm, concat('firm-', page_id) as own from ({URLS}) u where url not like '%/feed/'"
 
 
-@query(URLS, f"select page_id, case when regexp_matches(url, '/jobs/(view|search|collections)') then 'job_posting' when regexp_matches(url, '/company/[^/?#]+') then 'company' end as page_type, coalesce(nullif(regexp_extract(url, 'currentJobId=(\\d+)', 1), ''), nullif(regexp_extract(url, '/jobs/view/(\\d+)', 1), '')) as job_key from ({URLS}) u")
-def page_types(rows, _):
-    path = F.parse_url("url", F.lit("PATH"))
-    kind = F.when(path.rlike("^/jobs/(?:view|search|collections)"), "job_posting").when(path.rlike("^/company/[^/]+"), "company")
-    key = F.coalesce(F.parse_url("url", F.lit("QUERY"), F.lit("currentJobId")), F.nullif(F.regexp_extract(path, r"/jobs/view/(\d+)", 1), F.lit("")))
-    return rows.select("page_id", kind.alias("page_type"), key.alias("job_key"))
+@query(PAGES, f"""select page_id, 'linkedin' as board, case when firm then 'company' else 'job_posting' end as page_type, case when firm and t = 0 then concat('Org ', page_id) when t = 0 then concat('Acme ', page_id) else concat('Firm ', page_id) end as company,
+ case when t = 0 and not firm then concat('acme-', page_id) else own end as slug, case when not firm then concat(case t when 0 then 'Engineer ' else 'Lead ' end, page_id) end as title,
+ case when not firm then case t when 0 then concat('We are hiring.', chr(10), 'Go & SQL', chr(10), 'Visa sponsorship available') else trim(repeat('{_FILLER}', 8)) end end as description, case when not firm and t = 0 then 'US' end as country,
+ case when firm and t = 0 then concat('org', page_id, '.example.com') end as website, case when firm then concat('linkedin:company:', own) else concat('linkedin:job:', page_id) end as key from ({_PAGE}) p where firm or t < 2""")
+def page_contexts(rows, _):
+    return pages.contexts(rows, "page_id")
+
+
+@query(PAGES, f"""select 'linkedin' as board, case when firm then 'company' else 'job_posting' end as page_type, count(*) as n, count(*) as slug, count(case when not firm then 1 end) as title, count(case when not firm then 1 end) as description,
+ count(case when not firm and t = 0 then 1 end) as country, count(case when firm and t = 0 then 1 end) as website from ({_PAGE}) p where firm or t < 2 group by firm""")
+def page_field_rates(rows, _):
+    return pages.field_rates(rows)
 
 
 ROLES = [("recruiter", "technical recruiter"), ("em", "engineering manager"), ("director", "director of engineering"), ("peer", "senior software engineer")]  # fixed values

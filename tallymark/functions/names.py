@@ -84,7 +84,7 @@ def clean_domain(c: Column) -> Column:
 
 
 def deslugify(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(c, "-"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.expr("''"), x.substr(F.lit(2), F.length(x)))), " ")
+    return F.array_join(F.transform(F.filter(F.split(c, "-"), lambda x: x != ""), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.expr("''"), x.substr(F.lit(2), F.length(x)))), " ")
 
 
 def to_int(c: Column) -> Column:

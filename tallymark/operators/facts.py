@@ -61,7 +61,14 @@ def first_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def oldest_beyond(entries: DataFrame, limit: int = 500, share: float = 0.25) -> DataFrame:
-    """Cache eviction: the oldest quarter goes once a store holds `limit` entries."""
-    n = Window.partitionBy("store")
-    ranked = entries.withColumn("n", F.count("*").over(n)).withColumn("r", F.row_number().over(n.orderBy("stored_at", "key")))
-    return ranked.where((F.col("n") < limit) | (F.col("r") > int(-(-limit * share // 1)))).drop("n", "r")
+    """Cache eviction: the oldest quarter of `limit` goes once a store holds `limit` entries; its keys are distinct.
+
+    The rank is only asked up to that quarter, so each task sends its oldest entries of a store and no more; what stays
+    is found by the newest evicted entry, not by ranking a whole store in one task.
+    """
+    age, quarter = F.struct("stored_at", "key"), int(-(-limit * share // 1))
+    ranked = entries.select("store", age.alias("age")).withColumn("r", F.row_number().over(Window.partitionBy("store").orderBy("age")))
+    edges = ranked.where(F.col("r") <= quarter).groupBy("store").agg(F.max("age").alias("edge"))
+    full = entries.groupBy("store").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+    edges = edges.join(full, edges["store"].eqNullSafe(full["store"]), "left_semi").withColumnRenamed("store", "_store")
+    return entries.join(edges, entries["store"].eqNullSafe(edges["_store"]), "left").where(F.col("edge").isNull() | (age > F.col("edge"))).drop("_store", "edge")
