@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, lm, maincontent, minhash, pieces, pivots, sharding
+from . import chat, decontam, distinct, langid, licenses, lines, lm, maincontent, minhash, phrases, pieces, pivots, sharding
 from .common import Scratch, crc_of_id, table
 
 
@@ -86,8 +86,27 @@ def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "minhash"), width=3, hundredths=85)
 
 
+def op11_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"), Scratch(spark, "phrases"))
+
+
+def op12_line_dedup(spark, sf_dir):
+    kept = lines.drop_repeated(table(spark, sf_dir, "documents"), Scratch(spark, "lines"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_distinct_sets(spark, sf_dir):
+    return distinct.overlaps(table(spark, sf_dir, "clicks"), Scratch(spark, "distinct"), member="client_id", name="kind", at="ts")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op6_license_scan, op7_embedding_dedup, op8_lm_scoring, op9_decontamination, op10_minhash)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_chat_format, op2_sentencepiece, op3_language_id, op4_sharding, op5_html_extraction, op6_license_scan, op7_embedding_dedup, op8_lm_scoring, op9_decontamination,
+            op10_minhash, op11_collocations, op12_line_dedup, op13_distinct_sets,
+        )
+    }
 
 
 # what the template of chat.py puts around and into texts, for DuckDB
@@ -114,6 +133,28 @@ _SHINGLES = f"""with recursive w as (select doc_id, list_filter(regexp_split_to_
  select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(m.b, doc_id)) as component_id, doc_id <= coalesce(m.b, doc_id) as kept from d left join m on m.a = doc_id"""
 
 
+_COLLOCATIONS = """with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents),
+ w as (select lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') as w from p),
+ f as (select lang, k.k, array_to_string(w[i:i + k.k - 1], ' ') as gram, count(*) as a from (select lang, w, unnest(range(1, len(w) + 1)) as i from w) join (select unnest([1, 2, 3, 4]) as k) k on i + k.k - 1 <= len(w) group by all having count(*) >= 30),
+ t as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+ c as (select lang, gram, k, a, string_split(gram, ' ') as w from f where k >= 2),
+ u as (select lang, gram, a, w, unnest(range(1, k)) as k from c),
+ s as (select u.lang, u.gram, u.a, u.k, x.a as l, y.a as r, cast(2000000 * cast(u.a as hugeint) // (cast(x.a as hugeint) + y.a) as bigint) as score from u join f x on x.lang = u.lang and x.gram = array_to_string(u.w[1:u.k], ' ') join f y on y.lang = u.lang and y.gram = array_to_string(u.w[u.k + 1:], ' ')),
+ b as (select lang, gram, a, min({'score': score, 'k': k, 'l': l, 'r': r}) as m from s group by all),
+ h as (select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' '), array_to_string(w[3:4], ' '), array_to_string(w[1:3], ' '), array_to_string(w[2:4], ' ')]) as gram, a from c where k = 4 union all select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]), a from c where k = 3),
+ g as (select lang, gram, max(a) as most from h group by all),
+ d as (select b.* from b left join g using (lang, gram) where g.most is null or 100 * cast(g.most as hugeint) < 80 * cast(b.a as hugeint)),
+ q as (select lang, row_number() over (partition by lang order by m.score desc, a desc, gram) as rank, gram as phrase, a, m.l as l, m.r as r, n, m.score as score from d join t using (lang))
+ select lang, rank, phrase, a, l, r, n, score from q where rank <= 2000"""
+
+_LINES = """with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+ l as (select r, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from d),
+ k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+ f as (select key from k where length(key) >= 1 group by key having count(distinct r) >= 10)
+ select doc_id, count(*) as n_lines, count(f.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where f.key is null), '')) as kept_sha256
+ from k left join f using (key) group by r, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries whose whole result SQL can express; the tests hold the others against plain versions."""
-    return {"op1_chat_format": _CHAT, "op7_embedding_dedup": _VECTORS, "op10_minhash": _SHINGLES}
+    return {"op1_chat_format": _CHAT, "op7_embedding_dedup": _VECTORS, "op10_minhash": _SHINGLES, "op11_collocations": _COLLOCATIONS, "op12_line_dedup": _LINES}

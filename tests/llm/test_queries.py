@@ -12,7 +12,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tallymark.llm import maincontent, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings conversations pages".split()
+TABLES = "documents embeddings conversations pages clicks".split()
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +102,20 @@ def test_score_query(spark, duck):
     for d, r in rows.items():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], plain[d][0], plain[d][1], total)
         assert r.base_score == pytest.approx(plain[d][2]) and r.score < 0
+
+
+def test_distinct_query(spark, duck):
+    got = {(r.day, r.kind_a, r.kind_b): r for r in queries.op13_distinct_sets(spark, SF).collect()}
+    used = duck.sql("select distinct client_id, kind, date_diff('day', date '1970-01-01', ts::date) from clicks where client_id is not null and kind is not null and ts is not null").fetchall()
+    kinds = {k for _, k, _ in used}
+    at = {}
+    for c, k, d in used:
+        at.setdefault((k, d), set()).add(c)
+    days = {d for _, _, d in used}
+    assert set(got) == {(d, a, b) for d in days for a in kinds for b in kinds}
+    for (d, a, b), r in got.items():
+        x = set().union(*(at.get((a, d - i), ()) for i in range(7)))
+        y = set().union(*(at.get((b, d - 1 - i), ()) for i in range(7)))
+        assert (r.n_union, r.n_both, r.n_only_a) == (len(x | y), len(x & y), len(x - y))
+        for name, n in (("union", len(x | y)), ("both", len(x & y)), ("only_a", len(x - y))):
+            assert abs(r["est_" + name] - n) <= r["err_" + name] <= 8 * r.est_union / 512**0.5 + 3
