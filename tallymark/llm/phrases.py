@@ -28,7 +28,7 @@ MAX_N, LEAST, SHARE, TOP = 4, 30, 80, 2000
 #: Bytes of the bit filter of frequent pairs and of its segments; lots of a language in which ranks are taken first.
 FILTER, SEGMENT, LOTS = 1 << 23, 1 << 13, 64
 #: Text bytes that a task counts at a time.
-SLICE = 8_000_000
+SLICE = 2_000_000
 
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
