@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import links, names, places
 from .functions.similarity import score_pairs, trigrams
-from .operators import coverage, facts, fit, gates, phrases, resolve, store
+from .operators import coverage, facts, fit, gates, history, phrases, resolve, store
 from .sources import pages, registers
 from .streaming import usage
 
@@ -139,20 +140,30 @@ ALIASES = "select company_id, concat(canonical_name, ' trading') as alias, conca
 DOMAINS = "select company_id, concat('s', company_id, '.example.com') as domain from (" + COMPANIES + ") c where company_id % 10 = 0"
 
 
-@query(QUERIES)
+ASKED = f"""select query_id, name, regexp_replace(lower(name), ' (limited|corp)$', '') as q, case when upper(country) in ('US', 'GB', 'CA') then upper(country) end as scope,
+ nullif(str_split(regexp_replace(regexp_replace(lower(trim(domain)), '^[a-z][a-z0-9+.\\-]*://', ''), '^www\\.', ''), '/')[1], '') as domain from ({QUERIES}) z"""
+_MATCHES = oracles.resolved(ASKED, COMPANIES, ALIASES, DOMAINS, _MARKS)
+
+
+@query(QUERIES, f"select query_id, company_id from {oracles.candidates(ASKED, COMPANIES, ALIASES, DOMAINS)} x")
 def candidate_union(rows, read):
     return resolve.candidates(rows, read(COMPANIES), read(ALIASES), read(DOMAINS))
 
 
-@query(QUERIES)
+@query(QUERIES, f"select * from {_MATCHES} x")
 def resolve_full(rows, read):
     return resolve.resolve(rows, read(COMPANIES), read(ALIASES), read(DOMAINS)).withColumn("warnings", F.array_join("warnings", ","))
 
 
-@query(f"select q.query_id, q.name, c.normalized_name from ({QUERIES}) q join ({COMPANIES}) c on q.query_id = c.company_id")
+_SCORED = f"select distinct q.q, c.normalized_name as c from ({ASKED}) q join ({COMPANIES}) c on substr(q.q, 1, 3) = substr(c.normalized_name, 1, 3) where q.q <> ''"
+_NAMED = f"select distinct q.name, c.normalized_name as c from ({QUERIES}) q join ({COMPANIES}) c on substr(regexp_replace(lower(q.name), ' (limited|corp)$', ''), 1, 3) = substr(c.normalized_name, 1, 3)"
+
+
+@query(_NAMED, f"select q, c, round(score, 6) as score, method from {oracles.scores(_SCORED)} x")
 def scored_pairs(rows, _):
-    s = score_pairs(names.normalize(F.col("name")), F.col("normalized_name"))
-    return rows.withColumn("s", s).select("query_id", "s.score", "s.method")
+    """Every distinct asked name with every company whose name begins alike."""
+    pairs = rows.select(names.normalize(F.col("name")).alias("q"), "c").where("q <> ''").distinct()
+    return pairs.withColumn("s", score_pairs("q", "c")).select("q", "c", F.round("s.score", 6).alias("score"), "s.method")
 
 
 @query(QUERIES, f"select q.query_id, min(c.company_id) as company_id from ({QUERIES}) q join ({COMPANIES}) c on regexp_replace(lower(q.name), ' (limited|corp)$', '') = c.normalized_name group by 1")
@@ -191,34 +202,61 @@ def facts_sources_latest(rows, _):
     return facts.sources(rows)
 
 
-@query(LONG, f"""select company_id, country, max(year) as last_year, cast(sum(case when metric = 'approvals' then value else 0 end) as double) as approvals,
- case when max(year) - min(year) + 1 = count(distinct year) and count(distinct year) > 1 then concat(min(year), '–', max(year)) when count(distinct year) = 1 then cast(min(year) as varchar)
- else string_agg(distinct cast(year as varchar), ', ' order by cast(year as varchar)) end as span from ({LONG}) l group by all""")
+_METRICS = "case p_partkey % 9 when 0 then 'initial_approvals' when 1 then 'initial_denials' when 2 then 'perm_certified' when 3 then 'positions' when 4 then 'licensed_sponsor' when 5 then 'assessments' when 6 then 'perm_denied' when 7 then 'continuing_approvals' else 'odd_metric' end"
+_HISTORY = f"select p_partkey % 60 as company_id, case p_partkey % 3 when 0 then 'US' when 1 then 'GB' else 'CA' end as country, case when p_partkey % 60 < 6 then null else cast(2000 + p_partkey % 11 as int) end as year, {_METRICS} as metric, cast(case when p_partkey % 60 < 12 then 0 else p_partkey * 1.25 end as decimal(14,2)) as value, 'r' as source_id, date'2024-01-01' as published_date from part"
+_SPAN = "case when len(ys) = 0 then '' when len(ys) > 1 and ys[-1] - ys[1] + 1 = len(ys) then ys[1] || '–' || ys[-1] else array_to_string(ys, ', ') end"
+
+
+@query(_HISTORY, f"""with h as (select company_id, country, coalesce(list_sort(list_distinct(list(year) filter (where year is not null))), []) as ys, sum(case when metric in ('initial_approvals', 'continuing_approvals', 'perm_certified', 'positions') then value else 0 end) as volume from ({_HISTORY}) p group by 1, 2)
+ select company_id, string_agg(country || ' ' || {_SPAN}, '; ' order by country) as spans, case when max(ys[-1]) is null then 'they hold a current sponsor licence' when sum(volume) <= 0 then 'they last appear in the data for ' || max(ys[-1]) else 'about ' || format('{{:,}}', cast(floor(sum(volume) + 0.5) as bigint)) || ' approvals, most recently in ' || max(ys[-1]) end as history from h group by 1""")
 def history_summary(rows, _):
-    span = F.when((F.max("year") - F.min("year") + 1 == F.count_distinct("year")) & (F.count_distinct("year") > 1), F.concat_ws("–", F.min("year"), F.max("year")))
-    listed = F.array_join(F.transform(F.sort_array(F.collect_set("year")), lambda y: y.cast("string")), ", ")
-    return rows.groupBy("company_id", "country").agg(F.max("year").alias("last_year"), F.sum(F.when(F.contains("metric", F.lit("approval")), F.col("value")).otherwise(0)).cast("double").alias("approvals"), F.coalesce(span, listed).alias("span"))
+    """The clause on each company's history, with the span of its years in each country."""
+    held = facts.records(rows).withColumn("years", F.filter("years", lambda y: y.isNotNull())).groupBy("company_id").agg(F.sort_array(F.collect_list(F.struct("country", "years"))).alias("s"), F.collect_list(F.struct("country", "metrics", "years")).alias("r"))
+    spans = F.array_join(F.transform("s", lambda x: F.concat(x["country"], F.lit(" "), history.span(x["years"]))), "; ")
+    return held.select("company_id", spans.alias("spans"), history.describe(F.col("r")).alias("history"))
+
 
+@query(f"select distinct {_METRICS} as metric, cast(p_retailprice * 1000 as decimal(20,2)) as value, p_partkey, date_add(date'2024-01-31', cast(p_partkey as int)) as at from part", f"""select p_partkey, case {_METRICS} when 'initial_approvals' then 'H-1B initial approvals' when 'initial_denials' then 'H-1B initial denials' when 'perm_certified' then 'PERM certifications' when 'positions' then 'Positive LMIA positions' when 'licensed_sponsor' then 'Licensed sponsor'
+ when 'assessments' then 'Approved LMIAs' when 'perm_denied' then 'PERM denials' when 'continuing_approvals' then 'H-1B continuing approvals' else 'odd metric' end as label, format('{{:,}}', cast(floor(p_retailprice * 1000 + 0.5) as bigint)) as shown, strftime(date'2024-01-31' + cast(p_partkey as int), '%b %-d, %Y') as day from part""")
+def metric_labels(rows, _):
+    return rows.select("p_partkey", history.metric_label(F.col("metric")).alias("label"), history.number(F.col("value")).alias("shown"), history.day(F.col("at")).alias("day"))
 
-_MATCHED = f"select q.query_id, min(c.company_id) as company_id from ({QUERIES}) q join ({COMPANIES}) c on regexp_replace(lower(q.name), ' (limited|corp)$', '') = c.normalized_name group by 1"
 
+_REGISTRY = "select l_returnflag as id, concat('Register ', l_returnflag) as label, 'Office' as publisher, concat('https://register.example/', lower(l_returnflag)) as url from lineitem group by l_returnflag"
+_CHECKED = "case when scope is null then ['US', 'GB', 'CA'] else [scope] end"
+_RECORDS = f"""select company_id, country, cast(sum(case when metric = 'approvals' then value end) as decimal(24,2)) as approvals, cast(sum(case when metric = 'amount' then value end) as decimal(24,2)) as amount, list_sort(list_distinct(list(year))) as years, max(year) as latest from ({LONG}) l group by all"""
+_CITED = f"select company_id, country, string_agg(id || ' ' || label || ' ' || published || ' ' || url, '; ' order by id) as cited from (select company_id, country, r.id, r.label, r.url, max(published_date) as published from ({LONG}) l join ({_REGISTRY}) r on r.id = l.source_id group by all) x group by all"
 
-@query(QUERIES, f"""with m as ({_MATCHED}), s as (select company_id, count(*) as n_facts, cast(round(sum(value), 2) as double) as total_value, max(published_date) as published_date from ({LONG}) l group by 1)
- select q.query_id, case when n_facts > 0 then 'verified' else 'no_record' end as kind, s.company_id, case when n_facts > 0 then 'high' end as confidence, n_facts, total_value, published_date
- from ({QUERIES}) q left join m using (query_id) left join s on s.company_id = m.company_id""")
+
+@query(QUERIES, f"""with m as materialized (select * from {_MATCHES} x), r as materialized ({_RECORDS}), d as materialized ({_CITED}), u as (select *, {_CHECKED} as checked from ({ASKED}) a),
+ v as (select u.*, m.company_id, m.matched_name, m.score, m.method, m.confidence, m.warnings from (select z.query_id, z.name, coalesce(u.checked, case when upper(z.country) in ('US', 'GB', 'CA') then [upper(z.country)] else ['US', 'GB', 'CA'] end) as checked from ({QUERIES}) z left join u using (query_id)) u left join m using (query_id)),
+ g as (select query_id, string_agg(r.country || ' amount=' || amount || ' approvals=' || approvals || ' ' || array_to_string(years, ',') || ' (' || cited || ')', ' | ' order by r.country) as records, max(latest) as latest, sum(approvals) as approvals from v join r on r.company_id = v.company_id and list_contains(checked, r.country) join d on d.company_id = r.company_id and d.country = r.country group by 1),
+ h as (select distinct company_id from r)
+ select v.query_id, v.name as queried_name, case when h.company_id is null then 'no_record' else 'verified' end as kind, array_to_string(checked, ',') as countries_checked, h.company_id, case when h.company_id is not null then matched_name end as matched_name,
+  case when h.company_id is not null then v.score end as score, case when h.company_id is not null then v.confidence end as confidence, case when h.company_id is not null then v.method end as method, case when h.company_id is not null then v.warnings end as warnings,
+  case when h.company_id is not null then coalesce(g.records, '') end as records,
+  case when h.company_id is not null then case when latest is null then 'they hold a current sponsor licence' when approvals <= 0 then 'they last appear in the data for ' || latest else 'about ' || format('{{:,}}', cast(floor(approvals + 0.5) as bigint)) || ' approvals, most recently in ' || latest end end as history
+ from v left join h using (company_id) left join g using (query_id)""")
 def verdicts(rows, read):
-    exact = rows.withColumn("normalized_name", names.normalize(F.col("name"))).join(read(COMPANIES).select("company_id", "normalized_name"), "normalized_name")
-    matches = exact.groupBy("query_id").agg(F.min("company_id").alias("company_id")).withColumn("confidence", F.lit("high"))
-    return facts.verdicts(rows, matches, read(LONG)).withColumn("total_value", F.col("total_value").cast("double"))
+    """From a free-text name to its verdict: resolved, countries checked, records with their sources, the history clause."""
+    companies = read(COMPANIES)
+    matches = resolve.resolve(rows, companies, read(ALIASES), read(DOMAINS)).join(companies.select("company_id", "canonical_name"), "company_id")
+    found = facts.verdicts(rows, matches, read(LONG), read(_REGISTRY))
+    cited = lambda s: F.concat_ws(" ", s["id"], s["label"], s["published_date"].cast("string"), s["url"])
+    told = lambda r: F.concat(r["country"], F.array_join(F.transform(F.map_entries(r["metrics"]), lambda m: F.concat(F.lit(" "), m["key"], F.lit("="), m["value"].cast("decimal(24,2)").cast("string"))), ""), F.lit(" "), F.array_join(r["years"].cast("array<string>"), ","), F.lit(" ("), F.array_join(F.transform(r["sources"], cited), "; "), F.lit(")"))
+    return found.select(
+        "query_id", "queried_name", "kind", F.array_join("countries_checked", ",").alias("countries_checked"), "match.company_id", "match.matched_name", "match.score", "match.confidence", "match.method",
+        F.array_join("match.warnings", ",").alias("warnings"), F.array_join(F.transform("records", told), " | ").alias("records"), F.when(F.col("kind") == "verified", history.describe(F.col("records"))).alias("history"),
+    )
 
 
 @query(LONG, f"""with o as (select company_id, country, nullif(year, 1995) as year, metric, source_id, sum(value) as value, max(published_date) as published_date from ({LONG}) l where company_id % 2 = 0 group by all),
- n as (select company_id, country, nullif(year, 1995) as year, metric, source_id, sum(value) + 1 as value, max(published_date) as published_date from ({LONG}) l where company_id % 3 = 0 group by all),
+ n as (select company_id, country, nullif(year, 1995) as year, metric, source_id, sum(value) + 1 as value, max(published_date) as published_date from ({LONG}) l where company_id % 3 = 0 or company_id % 2 = 1 group by all),
  b as (select *, 0 as late from o union all select *, 1 as late from n), r as (select *, row_number() over (partition by company_id, country, year, metric, source_id order by late desc) as k from b)
  select company_id, country, year, metric, source_id, cast(value as double) as value, published_date from r where k = 1""")
 def upsert_facts(rows, _):
     keyed = rows.withColumn("year", F.nullif("year", F.lit(1995))).groupBy(*facts.KEY).agg(F.sum("value").alias("value"), F.max("published_date").alias("published_date"))
-    old, new = keyed.where("company_id % 2 = 0"), keyed.where("company_id % 3 = 0").withColumn("value", F.col("value") + 1)
+    old, new = keyed.where("company_id % 2 = 0"), keyed.where("company_id % 3 = 0 or company_id % 2 = 1").withColumn("value", F.col("value") + 1)
     return facts.upsert(old, new).withColumn("value", F.col("value").cast("double"))
 
 
@@ -503,17 +541,27 @@ def cache_keys(rows, _):
     return rows.select("company_id", store.server_key(F.col("canonical_name"), F.col("country"), F.lit("")).alias("server_key"), store.client_key(F.col("canonical_name"), F.col("country")).alias("client_key"))
 
 
-_BATCH = f"select name as company_name, coalesce(country, 'US') as country, 'us_petitions' as source_id, query_id % 7 as n, domain from ({QUERIES}) q"
-_PLAIN = "trim(regexp_replace(lower(company_name), ' (limited|corp)$', ''))"
+_BATCH = f"select name as company_name, coalesce(country, 'US') as country, 'us_petitions' as source_id, domain, 7919 * query_id % 100003 as seq from ({QUERIES}) q"
+_PLAIN = "regexp_replace(lower(company_name), ' (limited|corp)$', '')"
+_LOADED = f"""r as (select {_PLAIN} as normalized_name, country, arg_min(trim(company_name), seq) as canonical_name from ({_BATCH}) b group by all), c as ({COMPANIES}),
+ n as (select * from r where not exists (select 1 from c where c.normalized_name = r.normalized_name and c.country = r.country))"""
 
 
-@query(_BATCH, f"""with r as (select {_PLAIN} as normalized_name, country, min(company_name) as canonical_name from ({_BATCH}) b group by all), c as ({COMPANIES})
- select normalized_name, country, canonical_name, false as is_new from c union all
- select normalized_name, country, canonical_name, true from r where not exists (select 1 from c where c.normalized_name = r.normalized_name and c.country = r.country)""")
+@query(_BATCH, f"""with {_LOADED} select normalized_name, country, canonical_name, company_id from c union all select normalized_name, country, canonical_name, null from n""")
 def company_batch_load(rows, read):
+    """Companies after a batch: known ones as they were, new ones named by the first record that came."""
+    before = read(COMPANIES)
+    after = store.upsert_companies(before, rows).join(before.select("company_id", F.lit(True).alias("old")), "company_id", "left")
+    return after.select("normalized_name", "country", "canonical_name", F.when(F.col("old"), F.col("company_id")).alias("company_id"))
+
+
+@query(_BATCH, f"with {_LOADED} select country, count(*) as n_new, (select count(*) from n) as ids, (select max(company_id) from c) + 1 as first_id, (select max(company_id) from c) + (select count(*) from n) as last_id from n group by 1")
+def company_numbering(rows, read):
+    """New companies by country, and that their ids go on from the largest one without a gap."""
     before = read(COMPANIES)
-    after = store.upsert_companies(before, rows).join(before.select("company_id", F.lit(False).alias("old")), "company_id", "left")
-    return after.select("normalized_name", "country", "canonical_name", F.col("old").isNull().alias("is_new"))
+    fresh = store.upsert_companies(before, rows).join(before.select("company_id"), "company_id", "left_anti")
+    span = fresh.agg(F.count_distinct("company_id").alias("ids"), F.min("company_id").alias("first_id"), F.max("company_id").alias("last_id"))
+    return fresh.groupBy("country").agg(F.count("*").alias("n_new")).crossJoin(F.broadcast(span))  # one row
 
 
 _ALIASED = f"select canonical_name as company_name, country, 'us_petitions' as source_id, array(concat(' alias ', normalized_name, ' Inc'), canonical_name, ' ') as aliases, array(concat(' WWW.S', company_id, '.example.com'), '') as domains from ({COMPANIES}) c"
@@ -644,12 +692,12 @@ def referral_links_unscoped(rows, _):
     return rows.withColumn("r", roles).select("s_suppkey", "r.role", F.concat(F.lit("https://www.linkedin.com/search/results/people/?keywords="), search).alias("url"))
 
 
-@query(QUERIES, f"""with m as ({_MATCHED}), l as ({LONG}) select q.query_id, l.country, cast(round(sum(case when metric = 'approvals' then value else 0 end), 2) as double) as approvals, count(distinct year) as n_years, count(distinct source_id) as n_sources
- from ({QUERIES}) q join m using (query_id) join l on l.company_id = m.company_id where q.country is null or q.country = l.country group by all""")
+@query(QUERIES, f"""with m as materialized (select * from {_MATCHES} x), l as ({LONG}) select u.query_id, l.country, cast(round(sum(case when metric = 'approvals' then value else 0 end), 2) as double) as approvals, count(distinct year) as n_years, count(distinct source_id) as n_sources
+ from ({ASKED}) u join m using (query_id) join l on l.company_id = m.company_id where scope is null or scope = l.country group by all""")
 def verdict_records(rows, read):
-    """The nested records of the countries that a query asks for."""
-    exact = rows.withColumn("normalized_name", names.normalize(F.col("name"))).join(read(COMPANIES).select("company_id", "normalized_name"), "normalized_name")
-    found = facts.verdict_records(rows, exact.groupBy("query_id").agg(F.min("company_id").alias("company_id")), read(LONG))
+    """The nested records of the countries that a query asks for, a row each; an unsupported country asks for all."""
+    matches = resolve.resolve(rows, read(COMPANIES), read(ALIASES), read(DOMAINS)).join(read(COMPANIES).select("company_id", "canonical_name"), "company_id")
+    found = facts.verdicts(rows, matches, read(LONG), read(_REGISTRY)).select("query_id", F.inline("records"))
     return found.select("query_id", "country", F.col("metrics")["approvals"].cast("double").alias("approvals"), F.size("years").cast("long").alias("n_years"), F.size("sources").cast("long").alias("n_sources"))
 
 
@@ -657,5 +705,5 @@ def queries() -> dict:
     return dict(REGISTRY)
 
 
-def oracles() -> dict[str, str]:
+def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resolve import checked
+
 KEY = ["company_id", "country", "year", "metric", "source_id"]
 
 
@@ -30,28 +32,52 @@ def sources(stats: DataFrame) -> DataFrame:
 
 
 def records(stats: DataFrame) -> DataFrame:
-    """One nested record per company and country: metrics, years ascending, sources by id."""
-    metrics = totals(stats).groupBy("company_id", "country").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
-    when = stats.groupBy("company_id", "country").agg(F.sort_array(F.collect_set("year")).alias("years"))
-    by = sources(stats).groupBy("company_id", "country").agg(F.sort_array(F.collect_list(F.struct("source_id", "published_date"))).alias("sources"))
-    return metrics.join(when, ["company_id", "country"]).join(by, ["company_id", "country"])
-
-
-def verdicts(queries: DataFrame, matches: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row per query: `verified` with its records, or `no_record`; never a negative finding from missing data."""
-    sums = stats.groupBy("company_id").agg(F.count("*").alias("n_facts"), F.round(F.sum("value"), 2).alias("total_value"), F.max("published_date").alias("published_date"))
-    rows = queries.select("query_id").join(matches, "query_id", "left").join(sums, "company_id", "left")
-    kind = F.when(F.col("n_facts") > 0, "verified").otherwise("no_record")
-    shown = F.col("n_facts") > 0
-    return rows.select("query_id", kind.alias("kind"), *[F.when(shown, F.col(c)).alias(c) for c in ("company_id", "confidence", "n_facts", "total_value", "published_date")])
-
-
-def verdict_records(queries: DataFrame, matches: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, country, metrics, years, sources): the records of a matched company in the countries that were asked
-    (`country` of the query, all where it is null)."""
-    asked = queries.select("query_id", F.col("country").alias("asked")).join(matches.select("query_id", "company_id"), "query_id")
-    shown = asked.join(records(stats), "company_id").where("asked is null or asked = country")
-    return shown.select("query_id", "country", "metrics", "years", "sources")
+    """One nested record per company and country: sums by metric to the cent, years ascending, sources by id.
+
+    Rows are summed by metric, year and source before they meet, so a company holds as many rows as it has of those.
+    """
+    part = stats.groupBy("company_id", "country", "metric", "year", "source_id").agg(F.sum("value").alias("value"), F.max("published_date").alias("published_date"))
+    each = part.groupBy("company_id", "country").agg(
+        F.collect_list(F.struct("metric", "value")).alias("m"),
+        F.sort_array(F.collect_set("year")).alias("years"),
+        F.collect_list(F.struct("source_id", "published_date")).alias("s"),
+    )
+
+    def by(entries: str, key: str, value):
+        keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e[key])))
+        return F.transform(keys, lambda k: value(k, F.filter(entries, lambda e: e[key] == k)))
+
+    kind = part.schema["value"].dataType
+    total = lambda own: F.round(F.aggregate(own, F.lit(0).cast(kind), lambda x, e: (x + F.coalesce(e["value"], F.lit(0).cast(kind))).cast(kind)), 2)
+    metrics = F.map_from_entries(by("m", "metric", lambda k, own: F.struct(k.alias("metric"), total(own).alias("value"))))
+    sources = by("s", "source_id", lambda k, own: F.struct(k.alias("source_id"), F.array_max(F.transform(own, lambda e: e["published_date"])).alias("published_date")))
+    return each.select("company_id", "country", metrics.alias("metrics"), "years", sources.alias("sources"))
+
+
+def verdicts(queries: DataFrame, matches: DataFrame, stats: DataFrame, registry: DataFrame) -> DataFrame:
+    """One row per query: `verified` with its match and records, or `no_record`; no negative finding from missing data.
+
+    queries: query_id, name, country; matches: as `resolve` gives them, with canonical_name; stats: facts; registry: the
+    sources (id, label, publisher, url). A query that names a supported country gets records of that country, any other
+    those of all; `countries_checked` says which. A company without a fact is no record; a source that the registry does
+    not hold fails the query, as a figure without provenance must not be shown.
+    """
+    asked = queries.select("query_id", F.col("name").alias("queried_name"), checked(F.col("country")).alias("countries_checked"))
+    named = registry.select(F.col("id").alias("source_id"), "label", "publisher", "url")
+    shown = records(stats)
+    flat = shown.select("company_id", "country", "metrics", "years", F.explode("sources").alias("s")).select("company_id", "country", "metrics", "years", "s.*").join(named, "source_id", "left")
+    sure = F.when(F.col("label").isNull(), F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce("source_id", F.lit("null"))))).otherwise(F.col("label"))
+    entry = F.struct(F.col("source_id").alias("id"), sure.alias("label"), "publisher", "published_date", "url")
+    cited = flat.groupBy("company_id", "country").agg(F.first("metrics").alias("metrics"), F.first("years").alias("years"), F.sort_array(F.collect_list(entry)).alias("sources"))
+    held = cited.groupBy("company_id").agg(F.collect_list(F.struct("country", "metrics", "years", "sources")).alias("records"))  # a row a country
+    rows = asked.join(matches, "query_id", "left").join(held, "company_id", "left")
+    verified = F.col("records").isNotNull()
+    ordered = F.array_sort("records", lambda x, y: F.when(x["country"] < y["country"], -1).when(x["country"] > y["country"], 1).otherwise(0))
+    match = F.struct("company_id", "canonical_name", "matched_name", "score", "confidence", "method", "warnings")
+    return rows.select(
+        "query_id", "queried_name", F.when(verified, "verified").otherwise("no_record").alias("kind"), "countries_checked", F.when(verified, match).alias("match"),
+        F.when(verified, F.filter(ordered, lambda r: F.array_contains("countries_checked", r["country"]))).alias("records"),
+    )
 
 
 def first_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -11,73 +11,150 @@ from ..functions.similarity import score_pairs, trigrams
 FLOOR, BLOCK_FLOOR, BLOCK_TOP = 0.70, 0.3, 25
 
 
-def trigram_matches(queries: DataFrame, targets: DataFrame, *, floor: float = BLOCK_FLOOR, top: int | None = BLOCK_TOP) -> DataFrame:
-    """(query_id, target_id, similarity, rank): a set-similarity join of (query_id, name) with (target_id, name).
+def similar_names(probes: DataFrame, targets: DataFrame, floor: float = BLOCK_FLOOR) -> DataFrame:
+    """(probe, name, similarity) of distinct names above the floor: a set-similarity join over exploded trigrams.
 
-    The exploded trigrams are the inverted index. A target's rarest trigrams come first in a global order, and only
-    the prefix that a pair above the floor must share is joined; overlaps are then counted on whole sets. So common
-    trigrams do not multiply candidates.
+    A name's rarest trigrams come first in one global order. Only the prefix that a pair above the floor must share is
+    joined, lengths must fit, and a pair goes on only if enough trigrams are left behind the shared one; so common
+    trigrams do not multiply candidates. Overlaps are then counted on whole sets of numbers.
     """
-    q = queries.select("query_id", trigrams(F.col("name")).alias("g")).where(F.size("g") > 0)
-    t = targets.select("target_id", trigrams(F.col("name")).alias("g")).where(F.size("g") > 0)
-    df = t.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    packed = lambda g: sum(F.ascii(F.substring(g, i, 1)).cast("long") * (1 << (21 * (3 - i))) for i in (1, 2, 3))
+
+    def sets(rows: DataFrame, name: str, grams: str, size: str) -> DataFrame:
+        found = rows.where("name is not null").select(F.col("name").alias(name)).distinct().withColumn(grams, F.transform(trigrams(F.col(name)), packed))
+        return found.withColumn(size, F.size(grams)).where(F.col(size) > 0)
 
-    def prefixed(rows: DataFrame, key: str) -> DataFrame:
-        ranked = rows.select(key, F.size("g").alias("n"), F.explode("g").alias("gram")).join(df, "gram", "left")
-        order = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "gram")
+    p, t = sets(probes, "probe", "gp", "np"), sets(targets, "target", "gt", "nt")
+    df = t.select(F.explode("gt").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+    def prefixed(rows: DataFrame, name: str, grams: str, size: str, left: str) -> DataFrame:
+        ranked = rows.select(name, size, F.explode(grams).alias("gram")).join(df, "gram", "left")
+        place = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "gram"))
         # a pair with Jaccard >= floor shares one of the first n - ceil(floor * n) + 1 grams of either side
-        return ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * floor - 1e-9) + 1).select(key, "gram")
+        kept = ranked.withColumn("r", place).where(F.col("r") <= F.col(size) - F.ceil(F.col(size) * floor - 1e-9) + 1)
+        return kept.select(name, size, "gram", (F.col(size) - F.col("r")).alias(left))
+
+    near = prefixed(p, "probe", "gp", "np", "lp").join(prefixed(t, "target", "gt", "nt", "lt"), "gram")
+    near = near.where((F.col("np") * floor <= F.col("nt") + 1e-9) & (F.col("nt") * floor <= F.col("np") + 1e-9))
+    # overlap / (np + nt - overlap) >= floor; the first shared gram of a pair leaves at most the shorter rest
+    near = near.where((1 + F.least("lp", "lt")) * (1 + floor) >= (F.col("np") + F.col("nt")) * floor - 1e-9).select("probe", "target").distinct()
+    both = F.size(F.array_intersect("gp", "gt"))
+    scored = near.join(p, "probe").join(t, "target").select("probe", F.col("target").alias("name"), (both / (F.col("np") + F.col("nt") - both)).alias("similarity"))
+    return scored.where(F.col("similarity") >= floor)
 
-    pairs = prefixed(q, "query_id").join(prefixed(t, "target_id"), "gram").select("query_id", "target_id").distinct()
-    both = F.size(F.array_intersect("gq", "gt"))
-    scored = pairs.join(q.withColumnRenamed("g", "gq"), "query_id").join(t.withColumnRenamed("g", "gt"), "target_id")
-    scored = scored.select("query_id", "target_id", (both / (F.size("gq") + F.size("gt") - both)).alias("similarity")).where(F.col("similarity") >= floor)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "target_id")))
-    return ranked.where(F.col("rank") <= top) if top else ranked
+
+def _first(rows: DataFrame, key: list[str], order: list, top: int) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= top)
+
+
+def trigram_matches(queries: DataFrame, targets: DataFrame, *, floor: float = BLOCK_FLOOR, top: int | None = BLOCK_TOP) -> DataFrame:
+    """(query_id, target_id, similarity, rank) of (query_id, name[, country]) with (target_id, name[, country]).
+
+    Where both have a country, a query that names one asks only targets of it, before the first `top` are taken. Names
+    are joined once each, however many rows share them; a name hands on its first `top` targets of a country, as others
+    cannot be among the first of any query.
+    """
+    placed = "country" in queries.columns and "country" in targets.columns
+    q = queries.select("query_id", "name", F.col("country").alias("asked") if placed else F.lit(None).cast("string").alias("asked"))
+    t = targets.select("target_id", "name", F.col("country").alias("at") if placed else F.lit(None).cast("string").alias("at"))
+    asked = q.where("name is not null").select(F.col("name").alias("probe"), "asked").distinct()
+    near = similar_names(q, t, floor)
+    if top:
+        t = _first(t, ["name", "at"], ["target_id"], top).drop("rank")
+    found = asked.join(near, "probe").join(t, "name").where("asked is null or asked = at").select("probe", "asked", "target_id", "similarity")
+    order = [F.desc("similarity"), "target_id"]
+    if top:
+        found = _first(found, ["probe", "asked"], order, top)
+        matched = q.withColumnRenamed("name", "probe").alias("q").join(found.alias("f"), (F.col("q.probe") == F.col("f.probe")) & F.col("q.asked").eqNullSafe(F.col("f.asked")))
+        return matched.select("query_id", "target_id", "similarity", "rank")
+    matched = q.withColumnRenamed("name", "probe").alias("q").join(found.alias("f"), (F.col("q.probe") == F.col("f.probe")) & F.col("q.asked").eqNullSafe(F.col("f.asked")))
+    return matched.select("query_id", "target_id", "similarity", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank"))
 
 
 def band(score: Column) -> Column:
     return F.when(score >= 0.95, "high").when(score >= 0.85, "probable").otherwise("possible")
 
 
+#: Countries whose registers are held; a query that names none of them asks all of them.
+COUNTRIES = ("US", "GB", "CA")
+
+
+def scope(country: Column) -> Column:
+    """The one country that a query asks, in upper case, or null where it asks all."""
+    return F.when(F.upper(F.btrim(country)).isin(*COUNTRIES), F.upper(F.btrim(country)))
+
+
+def checked(country: Column) -> Column:
+    """The countries whose registers a query's answer rests on."""
+    return F.when(scope(country).isNotNull(), F.array(scope(country))).otherwise(F.array(*map(F.lit, COUNTRIES)))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, asked, q, scope, domain) of queries whose name does not normalise to nothing."""
+    norm = names.normalize(F.col("name"))
+    return queries.select("query_id", F.col("name").alias("asked"), norm.alias("q"), scope(F.col("country")).alias("scope"), names.clean_domain(F.col("domain")).alias("domain")).where("q <> ''")
+
+
+def _by_domain(q: DataFrame, companies: DataFrame, domains: DataFrame) -> DataFrame:
+    """(query_id, company_id) of companies that own the query's domain."""
+    own = domains.select("company_id", "domain").distinct().join(companies.select("company_id", F.col("country").alias("at")), "company_id")
+    return q.where("domain is not null").join(own, "domain").where("scope is null or scope = at").select("query_id", "company_id")
+
+
+def _by_name(q: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Distinct (q, scope, company_id) near to each distinct asked name, by the company's name or an alias of it."""
+    probes = q.select("q", "scope").distinct()
+    probe = probes.select(F.struct("q", "scope").alias("query_id"), F.col("q").alias("name"), F.col("scope").alias("country"))
+    own = companies.select(F.col("company_id").alias("target_id"), F.col("normalized_name").alias("name"), "country")
+    other = aliases.join(companies.select("company_id", "country"), "company_id").select(F.struct("company_id", "normalized_alias").alias("target_id"), F.col("normalized_alias").alias("name"), "country")
+    by_own = trigram_matches(probe, own).select("query_id", F.col("target_id").alias("company_id"))
+    by_alias = trigram_matches(probe, other).select("query_id", "target_id.company_id")
+    return by_own.unionByName(by_alias).distinct().select("query_id.q", "query_id.scope", "company_id")
+
+
+def _of_probe(q: DataFrame, found: DataFrame) -> DataFrame:
+    found = found.withColumnsRenamed({"q": "_q", "scope": "_scope"})
+    return q.join(found, (q["q"] == found["_q"]) & q["scope"].eqNullSafe(found["_scope"])).drop("_q", "_scope")
+
+
 def candidates(queries: DataFrame, companies: DataFrame, aliases: DataFrame, domains: DataFrame) -> DataFrame:
-    """Distinct (query_id, company_id) from domains, names and aliases; a query's country filters, an empty name has none.
+    """Distinct (query_id, company_id) from domains, names and aliases, in the countries that a query asks.
 
+    A supported country filters each block before its first 25 are taken; any other asks all. A name that normalises to
+    nothing has no candidates, even with a domain.
     queries: query_id, name, country, domain; companies: company_id, canonical_name, normalized_name, country;
     aliases: company_id, alias, normalized_alias; domains: company_id, domain.
     """
-    q = queries.withColumn("norm", names.normalize(F.col("name"))).where("norm <> ''")
-    by_domain = q.select("query_id", names.clean_domain(F.col("domain")).alias("domain")).join(domains.select("company_id", "domain"), "domain").select("query_id", "company_id")
-    probe = q.select("query_id", F.col("norm").alias("name"))
-    by_name = trigram_matches(probe, companies.select(F.col("company_id").alias("target_id"), F.col("normalized_name").alias("name"))).select("query_id", F.col("target_id").alias("company_id"))
-    keyed = aliases.select(F.struct("company_id", "normalized_alias").alias("target_id"), F.col("normalized_alias").alias("name"))
-    by_alias = trigram_matches(probe, keyed).select("query_id", "target_id.company_id")
-    found = by_domain.unionByName(by_name).unionByName(by_alias).distinct()
-    placed = found.join(companies.select("company_id", F.col("country").alias("at")), "company_id").join(q.select("query_id", "country"), "query_id")
-    known = F.upper("country").isin("US", "GB", "CA")
-    return placed.where(~F.coalesce(known, F.lit(False)) | (F.upper("country") == F.col("at"))).select("query_id", "company_id")
+    q = _asked(queries)
+    by_name = _of_probe(q, _by_name(q, companies, aliases)).select("query_id", "company_id")
+    return _by_domain(q, companies, domains).unionByName(by_name).distinct()
 
 
 def resolve(queries: DataFrame, companies: DataFrame, aliases: DataFrame, domains: DataFrame) -> DataFrame:
-    """One row per query with a match: query_id, company_id, matched_name, score, method, confidence, warnings."""
-    pairs = candidates(queries, companies, aliases, domains)
-    q = queries.select("query_id", F.col("name").alias("asked"), names.normalize(F.col("name")).alias("q"), names.clean_domain(F.col("domain")).alias("q_domain"))
+    """One row per query with a match: query_id, company_id, matched_name, score, method, confidence, warnings.
+
+    A company that owns the query's domain wins outright. Else the best of its candidates' names counts, found once for
+    each distinct name and country that is asked; ties go to the smaller company_id, then to its own name.
+    """
+    q = _asked(queries)
+    found = _by_name(q, companies, aliases)
     own = companies.select("company_id", F.lit(0).alias("place"), F.col("canonical_name").alias("name"), F.col("normalized_name").alias("c"))
     other = aliases.select("company_id", F.lit(1).alias("place"), F.col("alias").alias("name"), F.col("normalized_alias").alias("c"))
-    rows = pairs.join(q, "query_id").join(own.unionByName(other), "company_id")
-    hits = domains.select("company_id", F.col("domain").alias("q_domain"), F.lit(True).alias("hit")).distinct()
-    rows = rows.join(hits, ["company_id", "q_domain"], "left")
-    # scored once for each distinct pair of normalised names
-    scored = rows.select("q", "c").distinct().withColumn("s", score_pairs("q", "c"))
-    rows = rows.join(scored, ["q", "c"]).withColumn("hit", F.coalesce("hit", F.lit(False)) & (F.col("place") == 0))
-    rows = rows.withColumn("score", F.when(F.col("hit"), 1.0).otherwise(F.col("s.score"))).withColumn("method", F.when(F.col("hit"), "domain").otherwise(F.col("s.method")))
-    best = Window.partitionBy("query_id").orderBy(F.desc("hit"), F.desc("score"), "company_id", "place", "name")
-    top = rows.withColumn("r", F.row_number().over(best)).where(f"r = 1 and (hit or score >= {FLOOR})")
-    top = top.join(companies.select("company_id", "canonical_name", F.col("normalized_name").alias("canon")), "company_id")
-    confidence = F.when(F.col("hit"), "high").otherwise(band(F.col("score")))
+    rows = found.join(own.unionByName(other), "company_id")
+    scored = rows.select("q", "c").distinct().withColumn("s", score_pairs("q", "c", FLOOR)).where(F.col("s.score") >= FLOOR)
+    place = F.struct((-F.col("s.score")).alias("below"), "company_id", "place", "name", "s.method")
+    best = rows.join(scored, ["q", "c"]).groupBy("q", "scope").agg(F.min(place).alias("b"))
+    by_name = _of_probe(q, best).select("query_id", "b")
+    hits = _by_domain(q, companies, domains).groupBy("query_id").agg(F.min("company_id").alias("owner"))
+
+    top = q.select("query_id", "q").join(hits, "query_id", "left").join(by_name, "query_id", "left").where("owner is not null or b is not null")
+    hit = F.col("owner").isNotNull()
+    top = top.withColumn("company_id", F.coalesce("owner", "b.company_id")).join(companies.select("company_id", "canonical_name", F.col("normalized_name").alias("canon")), "company_id")
+    score, name = F.when(hit, 1.0).otherwise(-F.col("b.below")), F.when(hit, F.col("canonical_name")).otherwise(F.col("b.name"))
+    top = top.withColumn("score", score).withColumn("matched_name", name).withColumn("method", F.when(hit, "domain").otherwise(F.col("b.method"))).withColumn("confidence", F.when(hit, "high").otherwise(band(score)))
     flags = F.array(
         F.when(names.is_staffing(F.col("canon")) | names.is_staffing(F.col("q")), "staffing_agency"),
-        F.when(F.lower("name") != F.lower("canonical_name"), "matched_via_alias"),
-        F.when(confidence == "possible", "low_confidence"),
+        F.when(F.lower("matched_name") != F.lower("canonical_name"), "matched_via_alias"),
+        F.when(F.col("confidence") == "possible", "low_confidence"),
     )
-    return top.select("query_id", "company_id", F.col("name").alias("matched_name"), F.round("score", 4).alias("score"), "method", confidence.alias("confidence"), F.filter(flags, lambda x: x.isNotNull()).alias("warnings"))
+    return top.select("query_id", "company_id", "matched_name", F.round("score", 4).alias("score"), "method", "confidence", F.filter(flags, lambda x: x.isNotNull()).alias("warnings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize
@@ -24,15 +24,33 @@ def company_keys(records: DataFrame) -> DataFrame:
     return records.withColumn("normalized_name", normalize(F.col("company_name"))).where("normalized_name <> ''")
 
 
-def upsert_companies(companies: DataFrame, records: DataFrame) -> DataFrame:
-    """The companies with those that records add: ids go on from the largest one in the order of name and country."""
-    fresh = company_keys(records).groupBy("normalized_name", "country").agg(F.min("company_name").alias("canonical_name"))
+#: Lots in which new companies are numbered; each is one task's rows, and there is one row a lot in the table of offsets.
+LOTS = 4096
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Records with `seq`, their order of arrival: a column of that name, else their place in the files."""
+    return records if "seq" in records.columns else records.withColumn("seq", F.monotonically_increasing_id())
+
+
+def upsert_companies(companies: DataFrame, records: DataFrame, lots: int = LOTS) -> DataFrame:
+    """The companies with those that records add; a new company bears the trimmed name of its first record.
+
+    New ids go on from the largest one without gaps: new companies are counted by lots of their hashed keys, and each
+    one's number in its lot is added to the sum of the lots before it. No task numbers more than a lot.
+    """
+    first = F.min_by(F.btrim("company_name"), "seq").alias("canonical_name")
+    fresh = company_keys(in_order(records)).groupBy("normalized_name", "country").agg(first)
     fresh = fresh.join(companies.select("normalized_name", "country"), ["normalized_name", "country"], "left_anti")
-    most = companies.agg(F.coalesce(F.max("company_id"), F.lit(0)).alias("most"))
-    # an id is a hash of its key above all given ones, so that rows are neither sorted nor counted in one task
-    key = F.xxhash64("normalized_name", "country").bitwiseAND(F.lit((1 << 62) - 1))
-    fresh = fresh.crossJoin(F.broadcast(most)).withColumn("company_id", F.col("most") + 1 + key)  # one row
-    return companies.select("company_id", "canonical_name", "normalized_name", "country").unionByName(fresh.select("company_id", "canonical_name", "normalized_name", "country"))
+    fresh = fresh.withColumn("lot", F.pmod(F.xxhash64("normalized_name", "country"), F.lit(lots)))
+    before = F.sum("n").over(Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = fresh.groupBy("lot").agg(F.count("*").alias("n")).select("lot", F.coalesce(before, F.lit(0)).alias("before"))  # a row a lot
+    most = companies.agg(F.coalesce(F.max("company_id"), F.lit(0)).cast("long").alias("most"))  # one row
+    place = F.row_number().over(Window.partitionBy("lot").orderBy("normalized_name", "country"))
+    fresh = fresh.withColumn("place", place).join(F.broadcast(offsets), "lot").crossJoin(F.broadcast(most))
+    fresh = fresh.withColumn("company_id", F.col("most") + F.col("before") + F.col("place"))
+    columns = ["company_id", "canonical_name", "normalized_name", "country"]
+    return companies.select(F.col("company_id").cast("long").alias("company_id"), *columns[1:]).unionByName(fresh.select(columns))
 
 
 def with_ids(records: DataFrame, companies: DataFrame) -> DataFrame:
@@ -104,6 +122,27 @@ def current_analyses(analyses: DataFrame, resumes: DataFrame) -> DataFrame:
     return fresh.groupBy("job_key", "resume_id", "resume_version").agg(F.max_by(F.struct(*rest), "stored_at").alias("a")).select("job_key", "resume_id", "resume_version", "a.*")
 
 
-def migrate(entries: DataFrame, version: int) -> DataFrame:
-    """Entries of the current schema version; caches of another version are dropped, they can be made again."""
+#: The version of stored entries that is written now.
+VERSION = 2
+
+
+def migrate(entries: DataFrame, version: int = VERSION) -> DataFrame:
+    """Entries of caches of the current version; those of another version are dropped, they can be made again."""
     return entries.where(F.col("version") == version)
+
+
+def migrate_resumes(stored: DataFrame) -> DataFrame:
+    """(resume_id, text, updated_at, vector) from entries (resume_id, version, payload) of any version up to `VERSION`.
+
+    A resume is a reader's own work and cannot be made again, so each version's reader hands on what the next one needs:
+    version 0 stored the text alone, version 1 JSON of text and updatedAt in milliseconds, version 2 adds the vector. An
+    entry of a later version, or one that its reader cannot read, is dropped alone.
+    """
+    kind = "text string, updatedAt long, embedding array<double>"
+    parsed = stored.withColumn("v", F.coalesce("version", F.lit(0)))
+    from_0 = F.when(F.col("v") == 0, F.struct(F.col("payload").alias("text"), F.lit(0).cast("long").alias("updatedAt"), F.lit(None).cast("array<double>").alias("embedding")))
+    from_json = F.from_json("payload", kind)
+    from_1 = F.when(F.col("v") == 1, F.struct(from_json["text"].alias("text"), from_json["updatedAt"].alias("updatedAt"), F.lit(None).cast("array<double>").alias("embedding")))
+    from_2 = F.when(F.col("v") == VERSION, from_json)
+    rows = parsed.withColumn("r", F.coalesce(from_0, from_1, from_2)).where("r.text is not null and r.updatedAt is not null")
+    return rows.select("resume_id", "r.text", F.timestamp_millis("r.updatedAt").alias("updated_at"), F.col("r.embedding").alias("vector"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import to_int
+from . import sheets
 
 # fixed values: routes that allow sponsoring skilled workers
 ROUTES = ["skilled worker", "global business mobility", "senior or specialist worker", "scale-up", "international sportsperson", "t2 minister of religion"]
@@ -102,14 +103,15 @@ def read_register(spark: SparkSession, path: str, published: str) -> DataFrame:
 
 
 def read_assessments(spark: SparkSession, path: str, published: str) -> DataFrame:
-    """Finds the header among the first 25 lines: the first with a cell that starts with `employer`."""
-    head = spark.read.text(path).limit(25).collect()
-    at = next((i for i, r in enumerate(head) if any(c.strip('" ').lower().startswith("employer") for c in r.value.split(","))), 0)
-    header = head[at].value
-    lines = spark.read.text(path, lineSep="\n").withColumn("n", F.monotonically_increasing_id()).where(F.col("n") >= at).select("value")
-    names = [c.strip('" ') for c in header.split(",")]
-    cells = lines.where(F.col("value") != header).select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names)))).alias("r"))
-    return assessments(cells.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]), published)
+    """CSV or XLSX; the header is the first of 25 rows with a cell that starts with `employer`."""
+    return assessments(read_table(spark, path, "employer"), published)
+
+
+def read_table(spark: SparkSession, path: str, header_cell: str | None = None) -> DataFrame:
+    """A file's table. A workbook's header is looked for; a CSV file's too if `header_cell` says what it starts with."""
+    if header_cell or path.lower().endswith((".xlsx", ".xlsm")):
+        return sheets.read_sheet(spark, path, header_cell or "employer")
+    return _csv(spark, path)
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
@@ -118,9 +120,6 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     return df.select("canonical_name", "alias", F.upper("country").alias("country")).where("canonical_name <> '' and alias <> '' and country <> ''")
 
 
-PIPELINES = {"us_petitions": read_petitions, "uk_register": read_register, "ca_assessments": read_assessments}
-
-
 def discover(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, published): files that match a pattern, the newest date in each name, unknown where there is none."""
     found = spark.read.format("binaryFile").load(pattern).select("path")

@@ -25,8 +25,8 @@ def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(x) for x in r) for r in df.select(columns).collect()), key=str)
-    if name in catalog.oracles():
-        want = duck.sql(catalog.oracles()[name])
+    if name in catalog.oracle_sql():
+        want = duck.sql(catalog.oracle_sql()[name])
         assert sorted(want.columns) == columns
         at = [want.columns.index(c) for c in columns]
         assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
@@ -44,8 +44,8 @@ def test_whole_tables(spark):
     for t in catalog.TABLES:
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = {n: (d := catalog.queries()[n](spark, sf)).select(sorted(d.columns)).collect() for n in WHOLE}
-    for n in set(WHOLE) & set(catalog.oracles()):
-        want = c.sql(catalog.oracles()[n])
+    for n in set(WHOLE) & set(catalog.oracle_sql()):
+        want = c.sql(catalog.oracle_sql()[n])
         at = [want.columns.index(x) for x in sorted(want.columns)]
         assert sorted((tuple(plain(x) for x in r) for r in got[n]), key=str) == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str), n
     names = c.sql(f"select count(*) from ({catalog.NAMES}) n").fetchall()[0][0]
