@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, slices, small_batches
 
 #: Longest phrase; occurrences of a candidate; per cent of its occurrences that a longer one may hold; rows a language.
 MAX_N, LEAST, SHARE, TOP = 4, 30, 80, 2000
 #: Bytes of the bit filter of frequent pairs and of its segments; lots of a language in which ranks are taken first.
 FILTER, SEGMENT, LOTS = 1 << 23, 1 << 13, 64
 #: Text bytes that a task counts at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -174,11 +174,13 @@ def pair_filter(pairs: DataFrame) -> np.ndarray:
 def gram_counts(docs: DataFrame, scratch: Scratch, *, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
     """(lang, n, gram, a) of all n-grams with at least `least` occurrences; n 0 has a language's count of words."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    short = scratch.keep(_counts(rows, 1, min(2, max_n)).where((F.col("a") >= least) | (F.col("n") == 0)), "short")
+    with small_batches(docs.sparkSession):
+        short = scratch.keep(_counts(rows, 1, min(2, max_n)).where((F.col("a") >= least) | (F.col("n") == 0)), "short")
     if max_n < 3:
         return short
     bits = docs.sparkSession.sparkContext.broadcast(pair_filter(short.where("n = 2")))
-    long = scratch.keep(_counts(rows, 3, max_n, bits).where(F.col("a") >= least), "long")
+    with small_batches(docs.sparkSession):
+        long = scratch.keep(_counts(rows, 3, max_n, bits).where(F.col("a") >= least), "long")
     return short.unionByName(long)
 
 
