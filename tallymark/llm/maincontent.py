@@ -1,13 +1,15 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is cut into blocks (the text between block-level tags). A classifier gives each block the odds of being content:
-a logistic model over the block's text, its tag and its containers (an article or main element, an element for
-boilerplate, a class, id or role that names boilerplate). Its weights are fitted around stated prior weights on a bounded
-sample of pages. The labels come from elements alone: blocks of an article or main element against all others of such a
-page; names in attributes are only features. Pages without such an element use weights fitted without that feature.
-These odds are the capacities to the two terminals. Neighbours in page order and blocks of one parent are tied by
-smoothness edges. The minimum cut then labels all blocks of the page at once: a short line among paragraphs stays, an
-advert between them goes, and a paragraph in a container with an ambiguous name follows its own text and its neighbours.
+a logistic model over the block's text, its tag, an element for boilerplate around it, and how much of the names around
+it (class, id, role) are words for boilerplate. Its weights are fitted on a bounded sample of pages with an article or main
+element, whose blocks are told from all others of such a page; each block is learnt as it is, without its tag, and by its
+text alone, so that no cue does the work of the others. A name that is boilerplate through and through (`ad`, `comment-list`)
+is such a cue; one that holds such a word beside others starts with no weight, the pages say what it is worth. An
+article or main element then shifts the odds of what is in it and of what is not. These odds are the capacities to the
+two terminals. Neighbours in page order and blocks of one parent are tied by smoothness edges. The minimum cut then
+labels all blocks of the page at once: a short line among paragraphs stays, an advert between them goes, and a paragraph
+in a container with an odd name follows its own text and its neighbours.
 
 Defined results: null and empty html give an empty text, as do pages without text; unclosed tags end where HTML
 ends them; a page that breaks off within a tag, comment, script or style loses that part only; very long pages are
@@ -45,6 +47,8 @@ MARKS = set(
     "share sharing sidebar signup skip sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar widget widgets complementary contentinfo".split()
 )
 WEAK = set("alert byline dialog disclaimer form header notice notices notification recommended related replies reply respond search social".split())
+# fixed values: words of names that say how an element is laid out, not what it is
+NEUTRAL = set("area bar block body bottom box col column container content footer group header holder inner item items left link links list outer page panel right row section site slot text title top unit wrap wrapper".split())
 #: Values are quoted only right behind the equals sign; any other quote is text.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -59,15 +63,18 @@ class Inside:
     number: int = 0
     content: bool = False  # an article or main element
     boiler: bool = False  # an element for boilerplate
-    mark: bool = False  # a name for boilerplate
-    weak: bool = False  # a name that may stand for either
+    whole: bool = False  # a name for boilerplate
+    mark: float = 0.0  # how much of another name is for boilerplate
+    weak: float = 0.0  # how much of a name may stand for either
     hidden: bool = False
     heading: bool = False
+    named: str = ""  # the element's own attributes
 
 
 @dataclass
 class Block:
     tag: str
+    named: str
     parent: int
     inside: Inside
     parts: list[str] = field(default_factory=list)
@@ -78,24 +85,30 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def _marks(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether attributes mark an element as boilerplate, perhaps as such, or as hidden."""
-    mark = weak = hidden = False
+def _marks(attributes: str) -> tuple[bool, float, float, bool]:
+    """Whether a name says boilerplate and nothing else; how much of one does, or perhaps does; whether it is hidden."""
+    whole, mark, weak, hidden = False, 0.0, 0.0, False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] else value
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _NAMES.split(value)}
-            mark, weak = mark or bool(words & MARKS), weak or bool(words & WEAK)
+            for one in value.split():
+                words = [w.lower() for w in _NAMES.split(one) if w and not w.isdigit()]
+                marks, telling = sum(w in MARKS for w in words), [w for w in words if w in MARKS or w not in NEUTRAL | WEAK]
+                if marks and marks == len(telling):
+                    whole = True
+                elif words:
+                    mark = max(mark, marks / len(words))
+                    weak = max(weak, sum(w in WEAK for w in words) / len(words))
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return mark, weak, hidden
+    return whole, mark, weak, hidden
 
 
 def _enter(around: Inside, name: str, attributes: str, number: int) -> Inside:
-    mark, weak, hidden = _marks(attributes) if name not in ("html", "body", "article", "main") else (False, False, False)
+    whole, mark, weak, hidden = _marks(attributes) if name not in ("html", "body", "main") else (False, 0.0, 0.0, False)
     # a heading of an article's own header is part of the article
     boiler = name in BOILER and not (name == "header" and around.content)
-    return Inside(name, number, around.content or name in CONTENT, around.boiler or boiler, around.mark or mark, around.weak or weak, around.hidden or hidden, around.heading or name in HEADINGS)
+    return Inside(name, number, around.content or name in CONTENT, around.boiler or boiler, around.whole or whole, max(around.mark, mark), max(around.weak, weak), around.hidden or hidden, around.heading or name in HEADINGS, attributes.strip())
 
 
 def blocks(page: str) -> list[Block]:
@@ -109,8 +122,8 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            around = next(s for s in reversed(stack) if s.element in BLOCKS or not s.element)
-            now = Block(around.element, around.number, stack[-1])
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].element in BLOCKS or not k)
+            now = Block(stack[k].element, stack[k].named, stack[max(0, k - 1)].number, stack[-1])
             out.append(now)
         now.parts.append(text)
         now.linked += len(text) if links else 0
@@ -169,22 +182,25 @@ def blocks(page: str) -> list[Block]:
     return [b for b in out if not b.inside.hidden and b.text]
 
 
-#: Prior weights: one, log of words, share of linked text, punctuation a word, paragraph, heading, list item or cell, then
-#: the containers: article or main, element for boilerplate, name for boilerplate, ambiguous name.
-PRIOR = np.array([-2.0, 0.5, -2.0, 1.0, 1.5, 0.5, -0.5, 5.0, -9.0, -9.0, -6.0])
-FEATURES, ARTICLE = len(PRIOR), 7
-#: The prior counts as so large a share of the sample's blocks.
-TRUST = 0.02
-#: Log odds are held within this; ties of neighbours in page order and of one parent.
-CLIP, ADJACENT, SIBLING = 10.0, 1.0, 0.5
+#: Prior weights: one, log of words, share of linked text, punctuation a word, then paragraph, heading, list item or cell, then
+#: element for boilerplate, name for boilerplate, part of a name, ambiguous part. What is only a part starts at zero.
+PRIOR = np.array([-2.0, 0.5, -2.0, 1.0, 1.5, 1.0, -0.5, -10.0, -8.0, 0.0, 0.0])
+FEATURES, TEXT, TAGS = len(PRIOR), slice(0, 4), slice(4, 7)
+#: What the prior counts for: as much as so many blocks.
+TRUST = 8.0
+#: Shifts of the log odds in an article or main element, and outside of it on a page that has one.
+WITHIN, WITHOUT = 1.5, -10.0
+#: Log odds are held within this; ties of neighbours in page order, and of neighbours of one kind in one parent.
+CLIP, ADJACENT, SIBLING = 15.0, 0.2, 2.0
 
 
 def features(block: Block) -> list[float]:
     text, inside = block.text, block.inside
     words = text.split()
     n = max(1, len(text))
-    own = [1.0, math.log1p(len(words)), min(1.0, block.linked / n), min(1.0, sum(c in ".,;:!?" for c in text) / max(1, len(words))), float(block.tag in ("p", "pre", "blockquote")), float(inside.heading), float(block.tag in ("li", "td", "th"))]
-    return [*own, float(inside.content), float(inside.boiler), float(inside.mark), float(inside.weak)]
+    own = [1.0, math.log1p(len(words)), min(1.0, block.linked / n), min(1.0, sum(c in ".,;:!?" for c in text) / max(1, len(words)))]
+    tags = [float(block.tag in ("p", "pre", "blockquote")), float(inside.heading), float(block.tag in ("li", "td", "th"))]
+    return [*own, *tags, float(inside.boiler), float(inside.whole), inside.mark, inside.weak]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float, rounds: int = 50) -> np.ndarray:
@@ -202,19 +218,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float,
     return w
 
 
-@dataclass
-class Weights:
-    """For pages with an article or main element, and for pages without."""
-
-    named: np.ndarray
-    unnamed: np.ndarray
-
-    @classmethod
-    def prior(cls) -> Weights:
-        return cls(PRIOR.copy(), PRIOR.copy())
+def fit_blocks(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of blocks with labels; each block counts as it is, without its tag, and by its text alone."""
+    bare, text = x.copy(), np.zeros_like(x)
+    bare[:, TAGS] = 0
+    text[:, TEXT] = x[:, TEXT]
+    return fit_logistic(np.concatenate([x, bare, text]), np.concatenate([y, y, y]), PRIOR, TRUST)
 
 
-def fit(pages: DataFrame, *, column: str = "html", sample_pages: int = 400) -> Weights:
+def fit(pages: DataFrame, *, column: str = "html", sample_pages: int = 400) -> np.ndarray:
     """Weights from about `sample_pages` pages that have an article or main element: its blocks against the others."""
     n = pages.count()
     part = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 30)) / float(1 << 30)
@@ -231,11 +243,8 @@ def fit(pages: DataFrame, *, column: str = "html", sample_pages: int = 400) -> W
 
     got = rows.mapInArrow(read, "x array<double>, y double").toArrow()
     if not got.num_rows:
-        return Weights.prior()
-    x, y = np.array(got.column("x").to_pylist()), got.column("y").to_numpy()
-    ridge, without = max(1.0, TRUST * len(x)), x.copy()
-    without[:, ARTICLE] = 0
-    return Weights(fit_logistic(x, y, PRIOR, ridge), fit_logistic(without, y, PRIOR, ridge))
+        return PRIOR.copy()
+    return fit_blocks(np.array(got.column("x").to_pylist()), got.column("y").to_numpy())
 
 
 def min_cut(content: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -302,29 +311,39 @@ def min_cut(content: list[float], ties: list[tuple[int, int, float]]) -> list[bo
 
 
 def tied(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges of a page's blocks."""
-    ties = [(i, i + 1, ADJACENT) for i in range(len(found) - 1)]
-    last: dict[int, int] = {}
+    """Smoothness edges of a page's blocks: neighbours in page order, and more between blocks of one kind in one parent."""
+    ties: list[tuple[int, int, float]] = []
+    last: dict[tuple, int] = {}
     for i, b in enumerate(found):
-        if b.parent in last and last[b.parent] < i - 1:
-            ties.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
+        if i:
+            ties.append((i - 1, i, ADJACENT))
+        kind = (b.parent, b.tag, b.named)
+        if kind in last:
+            ties.append((last[kind], i, SIBLING))
+        last[kind] = i
     return ties
 
 
-def labels(found: list[Block], weights: Weights) -> list[bool]:
+def odds(found: list[Block], weights: np.ndarray) -> np.ndarray:
+    """Log odds of each block of a page being content."""
+    own = np.array([features(b) for b in found]) @ weights
+    within = np.array([b.inside.content for b in found])
+    if within.any():
+        own = own + np.where(within, WITHIN, WITHOUT)
+    return np.clip(own, -CLIP, CLIP)
+
+
+def labels(found: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks of a page are content."""
-    x = np.array([features(b) for b in found])
-    odds = np.clip(x @ (weights.named if x[:, ARTICLE].any() else weights.unnamed), -CLIP, CLIP)
-    return min_cut(odds.tolist(), tied(found))
+    return min_cut(odds(found, weights).tolist(), tied(found))
 
 
-def extract(page: str | None, weights: Weights) -> str:
+def extract(page: str | None, weights: np.ndarray) -> str:
     found = blocks(page or "")
     return "\n\n".join(b.text for b, keep in zip(found, labels(found, weights), strict=True) if keep) if found else ""
 
 
-def main_text(pages: DataFrame, weights: Weights, *, id_column: str = "page_id", column: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, weights: np.ndarray, *, id_column: str = "page_id", column: str = "html") -> DataFrame:
     """(page_id, text) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
