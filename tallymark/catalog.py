@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from .functions import links, names, places
+from .functions import links, names, places, skills
 from .functions.similarity import score_pairs, trigrams
 from .operators import coverage, facts, fit, gates, history, phrases, resolve, store
 from .sources import pages, registers
@@ -331,17 +331,42 @@ def cache_evict_oldest(rows, _):
     return facts.oldest_beyond(rows).select("key", "store")
 
 
-@query(POSTINGS)
+_SAID = [
+    "We are glad to sponsor visas for this post.", "Sadly we do not provide visa sponsorship; relocation support is on offer.", "Will you need sponsorship now or later?", "Applicants must already hold the right to work in the UK.",
+    "A relocation package is available, but not for interns.", "The right to work is not required, as we arrange a work permit.", "Sponsorship is not available for this role", "H1B transfers welcome!", "Only US citizens or green card holders can apply.",
+    "An active security clearance is required.", "We sponsor events in the city, although no sponsorship of people is planned.", "You can join without the need for employer sponsorship.", "Our team is unable to offer help with papers.",
+    "Valid visa support, relocation assistance and lunch.", "We can not consider OPT or CPT.", "Candidates requiring sponsorship cannot be considered", "Visa sponsorship will be provided to the right person", "You aren’t asked for a work permit: we help with your visa.",
+    "No ITAR, never citizenship checks (and no sponsorship either).", "Must be authorised to work; eligible to work at once", "Our employer sponsors staff regularly - relocation too", "Build things with us.", "We ship often; we test more", "Permanent resident? Good. Entitled to work, not excluded",
+]
+_QUOTED = ", ".join("'" + x.replace("'", "''") + "'" for x in _SAID)
+# Spark reads array(...) with places from 0, DuckDB lists with places from 1
+_PHRASED = "select doc_id as posting_id, concat({0}, case doc_id % 3 when 0 then ' ' when 1 then chr(10) else '  ' end, {1}, chr(10), chr(10), {2}) as text from documents"
+_PICKS = [f"doc_id % {len(_SAID)}", f"(doc_id * 7 + 5) % {len(_SAID)}", f"(doc_id * 11 + doc_id % 13) % {len(_SAID)}"]
+PHRASED = _PHRASED.format(*[f"element_at(array({_QUOTED}), cast({x} as int) + 1)" for x in _PICKS])
+_PHRASED_SQL = _PHRASED.format(*[f"([{_QUOTED}])[{x} + 1]" for x in _PICKS])
+_CLAUSES = oracles.clauses(_PHRASED_SQL)
+_HARD = oracles.constructions(_CLAUSES, [(-1, phrases.NEGATIVE), (1, phrases.POSITIVE)])
+_SOFT = oracles.anchors(_CLAUSES, phrases._ORDERED, phrases.TOKEN, phrases.NEGATIONS, phrases.BARRIERS, phrases.WINDOW, len(phrases.NEGATIVE) + len(phrases.POSITIVE) + 1)
+_HITS = f"(select * from {_HARD} h union all select * from {_SOFT} s)"
+
+
+@query(PHRASED, f"select * from {oracles.signals(_PHRASED_SQL, _HITS)} x")
 def posting_signals(rows, _):
     return phrases.signals(rows).withColumn("evidence", F.array_join("evidence", " / ")).withColumn("cues", F.array_join("cues", ","))
 
 
-@query(POSTINGS)
+@query(PHRASED, f"select posting_id, sentence_no, clause_no, k, cue, polarity, weight from {_HITS} x")
+def phrase_hits(rows, _):
+    """Every cue in every clause: constructions, and anchors with the negations near them."""
+    return phrases.hits(rows).drop("clause")
+
+
+@query(PHRASED, f"select * from {_CLAUSES} x")
 def clauses(rows, _):
     return phrases.clauses(rows)
 
 
-@query(POSTINGS)
+@query(PHRASED, f"select posting_id, sentence_no, clause_no, cue, polarity from {_HARD} x")
 def hard_pattern_hits(rows, _):
     return phrases.hard_hits(phrases.clauses(rows)).select("posting_id", "sentence_no", "clause_no", "cue", "polarity")
 
@@ -351,9 +376,10 @@ def phrase_tokens(rows, _):
     return rows.select("doc_id", F.size(phrases.tokens(F.col("text"))).alias("n"))
 
 
-@query(POSTINGS, f"""with l as (select posting_id, cast(generate_subscripts(str_split(text, chr(10)), 1) - 1 as int) as line_no, trim(unnest(str_split(text, chr(10)))) as line from ({POSTINGS}) p),
- e as (select *, case when regexp_matches(line, '{fit.HEADING}') then true when regexp_matches(line, '^[A-Z]') and length(line) < 40 and not regexp_matches(line, '[.!?]$') and not regexp_matches(line, '{fit.BULLET}') then false end as ev from l where line <> '')
- select posting_id, line_no, line, coalesce(last_value(ev ignore nulls) over (partition by posting_id order by line_no rows unbounded preceding), false) as in_requirements from e""")
+_SECTIONS = lambda postings: oracles.sections(postings, fit.HEADING, fit.TITLE, fit.BULLET)
+
+
+@query(POSTINGS, f"select * from {_SECTIONS(POSTINGS)} s")
 def requirement_sections(rows, _):
     return fit.sections(rows)
 
@@ -459,28 +485,29 @@ def ingest_ca(rows, _):
     return registers.assessments(rows, "2024-12-31").select("company_name", "metric", F.col("value").cast("double").alias("value"))
 
 
-@query(POSTINGS, f"""select p_partkey as posting_id, case when p_partkey % 7 in (1, 3) then 'posting_negative' when p_partkey % 2 = 0 then 'verified' else 'no_record' end as shown from part""")
+@query(PHRASED, f"select posting_id, case when posting_id % 2 = 0 then 'verified' else 'no_record' end as kind, case when polarity = 'negative' then 'posting_negative' when posting_id % 2 = 0 then 'verified' else 'no_record' end as shown from {oracles.signals(_PHRASED_SQL, _HITS)} x")
 def conflict_verdict(rows, _):
-    signal = phrases.signals(rows).select("posting_id", "polarity")
-    history = rows.select("posting_id", F.when(F.col("posting_id") % 2 == 0, "verified").otherwise("no_record").alias("kind"))
-    return history.join(signal, "posting_id").select("posting_id", F.when(F.col("polarity") == "negative", "posting_negative").otherwise(F.col("kind")).alias("shown"))
+    """What is shown where a posting's own words and its employer's history differ."""
+    history_of = rows.select("posting_id", F.when(F.col("posting_id") % 2 == 0, "verified").otherwise("no_record").alias("kind"))
+    return phrases.shown(history_of, phrases.signals(rows))
 
 
-LEXICON = ["python", "sql", "machine learning", "c++"]
-ASKING = """select p_partkey as posting_id, concat('Python wanted', chr(10), 'Requirements', chr(10), '- 5+ years of experience with ', p_name, ' and SQL', chr(10), '- Machine learning, C++; knowledge of ', p_name,
- case when p_partkey % 3 = 0 then concat(chr(10), 'About The Team', chr(10), '- We ship ', p_name) else '' end) as text from part"""
-RESUMES = "select p_partkey as resume_id, concat('Built ', p_name, case p_partkey % 3 when 0 then ' in Python' when 1 then ' with SQL' else ' by machine learning' end) as text from part"
+ASKING = """select p_partkey as posting_id, concat('Python wanted', chr(10), case p_partkey % 4 when 0 then 'Requirements' when 1 then 'What you''ll need:' when 2 then 'Who we are' else 'Minimum qualifications' end, chr(10), '- 5+ years of experience with ', p_name, ' and SQL', chr(10), '- Machine learning, C++; knowledge of ', p_name,
+ ' or ', p_type, chr(10), case p_partkey % 5 when 0 then '* You''re fluent in JavaScript, java and node.js.' when 1 then '2) hands-on background in ci/cd/.net tooling' when 2 then 'Ability to ship ' else 'We don''t mind ' end, p_brand, case when p_partkey % 3 = 0 then concat(chr(10), 'About The Team', chr(10), '- We ship ', p_name, ' on AWS') else '' end) as text from part"""
+RESUMES = "select p_partkey as resume_id, case when p_partkey % 11 = 0 then null else concat('Built ', p_name, case p_partkey % 3 when 0 then ' in Python' when 1 then ' with SQL & C++' else ' by machine learning' end, ', ', lower(p_type), '.') end as text from part"
+_KEYWORDS = oracles.keywords(_SECTIONS(ASKING), coverage, fit.BULLET, skills.TERMS)
 
 
-@query(ASKING)
+@query(ASKING, f"select posting_id, term, occurrences, in_requirements, evidence, weight, rank from {_KEYWORDS} k")
 def keyword_requirements(rows, _):
-    return coverage.requirements(rows, LEXICON)
+    return coverage.requirements(rows)
 
 
-@query(ASKING)
+@query(ASKING, f"select * from {oracles.covered(ASKING, RESUMES, _KEYWORDS, coverage)} c")
 def keyword_coverage(rows, read):
     pairs = rows.select("posting_id", F.col("posting_id").alias("resume_id"))
-    return coverage.analyze(pairs, rows, read(RESUMES), LEXICON)
+    found = coverage.analyze(pairs, rows, read(RESUMES))
+    return found.drop("suggestions").withColumn("matched", F.array_join("matched", ",")).withColumn("missing", F.array_join(F.transform("missing", lambda m: m["term"]), ","))
 
 
 _INTERVIEWS = """select s_suppkey, 'Glassdoor interviews' as label, concat('https://www.glassdoor.com/Search/results.htm?keyword=', replace(s_name, '#', '%23')) as url from supplier

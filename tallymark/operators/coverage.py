@@ -1,6 +1,6 @@
 """Keyword coverage: which terms a posting asks for, and how far a resume covers them.
 
-The lexicon of known skills is a parameter: a list of lower-case terms that fits into a plan as literals. Everything
+The lexicon of known skills is a parameter, `skills.TERMS` by default: lower-case terms that fit into a plan as literals. Everything
 is built-in expressions over one explode per posting; a posting keeps its `LIMIT` heaviest terms, as the score is defined.
 
 Defined results: a null or empty posting has no terms, score 0 and band weak; a null resume covers nothing.
@@ -8,9 +8,12 @@ Defined results: a null or empty posting has no terms, score 0 and band weak; a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import skills
 from . import fit
 
 # fixed values
@@ -64,19 +67,36 @@ def phrases(words: Column) -> Column:
     return F.flatten(F.transform(words, at))
 
 
+CHUNK = r"[a-z0-9]+|[^a-z0-9]"
+
+
 def known(line: Column, lexicon: list[str]) -> Column:
-    """Lexicon terms whose first occurrence in the line stands alone."""
+    """Lexicon terms whose first occurrence in the line stands alone.
+
+    Such a term begins and ends between a word and something else. So the line is cut into words and single other
+    characters, and its runs of up to as many of those as the longest term has are looked up in the lexicon, one set of
+    literals; only what is found is then searched in the line. The plan does not grow with the lexicon.
+    """
+    if not lexicon:
+        return F.array().cast("array<string>")
     low = F.lower(line)
+    width = max(len(re.findall(CHUNK, t)) for t in lexicon)
+
+    def runs(chunks: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(chunks))
+        each = F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(width), F.size(chunks) - i + 1)), lambda n: F.array_join(F.slice(chunks, i, n), "")))
+        return F.when(F.size(chunks) > 0, F.flatten(each)).otherwise(F.array().cast("array<string>"))
 
     def alone(term: Column) -> Column:
         at = F.position(term, low)
         before, after = F.when(at > 1, F.substr(low, at - 1, F.lit(1))).otherwise(""), F.substr(low, at + F.length(term), F.lit(1))
         return (at > 0) & ~before.rlike("[a-z0-9]") & ~after.rlike("[a-z0-9]")
 
-    return F.filter(F.array(*map(F.lit, lexicon)).cast("array<string>"), alone)
+    found = F.array_intersect(F.lit(sorted(set(lexicon))), runs(F.regexp_extract_all(low, F.lit(CHUNK), F.lit(0))))
+    return F.filter(found, alone)
 
 
-def requirements(postings: DataFrame, lexicon: list[str]) -> DataFrame:
+def requirements(postings: DataFrame, lexicon: list[str] = skills.TERMS) -> DataFrame:
     """(posting_id, term, occurrences, in_requirements, evidence, weight, rank) of the heaviest terms of each posting."""
     lines = fit.sections(postings)
     line, listed = F.col("line"), F.col("line").rlike(fit.BULLET) & F.col("in_requirements")
@@ -95,7 +115,7 @@ def requirements(postings: DataFrame, lexicon: list[str]) -> DataFrame:
     return ranked.select("posting_id", "term", "occurrences", "in_requirements", "evidence", "weight", "rank")
 
 
-def analyze(pairs: DataFrame, postings: DataFrame, resumes: DataFrame, lexicon: list[str]) -> DataFrame:
+def analyze(pairs: DataFrame, postings: DataFrame, resumes: DataFrame, lexicon: list[str] = skills.TERMS) -> DataFrame:
     """One row per (posting_id, resume_id) of `pairs`: score, band, matched and missing terms, suggestions and summary."""
     entry = F.struct("rank", "term", "occurrences", "in_requirements", "evidence", "weight")
     asked = requirements(postings, lexicon).groupBy("posting_id").agg(F.sort_array(F.collect_list(entry)).alias("terms"))  # LIMIT at most

@@ -18,22 +18,43 @@ TITLE = r"^[A-Z][^.!?]{0,60}:?$"
 BULLET = r"^\s*(?:[-–—*•‣▪]|\d+[.)])\s+"
 
 
+TERM, EDGES = r"[a-z][a-z0-9+#.\-/]*[a-z0-9+#]|[a-z]", r"^[.\-/]+|[.\-/]+$"
+#: Bytes of asked text up to which its terms are sent to every task that reads the other side.
+SENT = 64_000_000
+
+
 def terms(c: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z][a-z0-9+#.\-/]*[a-z0-9+#]|[a-z]"), F.lit(0)), lambda t: F.regexp_replace(t, r"^[.\-/]+|[.\-/]+$", ""))
+    found = F.transform(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0)), lambda t: F.regexp_replace(t, EDGES, ""))
     return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(STOP))
 
 
+def each_term(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each term of `text`; edges are stripped and stop words dropped after the terms are rows."""
+    found = rows.select(*keep, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    return found.withColumn("term", F.regexp_replace("term", EDGES, "")).where((F.length("term") >= 2) & ~F.col("term").isin(STOP))
+
+
+def _counted(asked: DataFrame, least: int) -> DataFrame:
+    return each_term(asked, "id").groupBy("id", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def _held(asked: DataFrame, have: DataFrame) -> DataFrame:
+    """Distinct terms of `have` that are asked for at all: others are dropped where they are read.
+
+    Terms of a text take no more bytes than the text, so the size of what is asked bounds what is sent to every task.
+    """
+    wanted = each_term(asked).distinct()
+    size = int(str(asked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return each_term(have).join(F.broadcast(wanted) if size <= SENT else wanted, "term", "left_semi").distinct()
+
+
 def term_gaps(asked: DataFrame, have: DataFrame, *, least: int = 2, limit: int = 6) -> DataFrame:
     """Terms that an asked text (id, text) stresses and no text of `have` holds: (id, term, n, rank)."""
-    wanted = asked.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    missing = wanted.join(have.select(F.explode(terms(F.col("text"))).alias("term")).distinct(), "term", "left_anti")
-    return _top(missing, limit)
+    return _top(_counted(asked, least).join(_held(asked, have), "term", "left_anti"), limit)
 
 
 def term_overlaps(asked: DataFrame, have: DataFrame, *, limit: int = 5) -> DataFrame:
-    wanted = asked.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-    shared = wanted.join(have.select(F.explode(terms(F.col("text"))).alias("term")).distinct(), "term", "left_semi")
-    return _top(shared, limit)
+    return _top(_counted(asked, 1).join(_held(asked, have), "term", "left_semi"), limit)
 
 
 def _top(rows: DataFrame, limit: int) -> DataFrame:

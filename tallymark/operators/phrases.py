@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ POSITIVE = {
 }
 TOKEN = r"[a-z0-9][a-z0-9'’\-]*|[,;:—–()]"
 _ORDERED = sorted([(a.split(), w, 1) for a, w in OFFERS] + [(a.split(), w, -1) for a, w in REQUIREMENTS], key=lambda x: -len(x[0]))
-_PUNCTUATED = re.compile(TOKEN)
+#: A clause without any of these holds no construction.
+GATE = r"(?i)sponsor|right|authori|permit|citizen|clearance|secret|itar|export|ts/sci|visa|h-?1|opt|cpt|ead|tn|e-?3|o-?1|offer|provide|support"
 
 
 def ascii_edges(pattern: str) -> str:
@@ -64,56 +66,110 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
-def hard_hits(rows: DataFrame) -> DataFrame:
-    """The constructions in each clause that is no question: adds `cue` and `polarity`."""
-    found = [F.when(F.col("clause").rlike(ascii_edges(p)), F.struct(F.lit(f"hard:{k}").alias("cue"), F.lit(sign).alias("polarity"))) for sign, table in ((-1, NEGATIVE), (1, POSITIVE)) for k, p in table.items()]
+def constructions(clause: Column) -> Column:
+    """The constructions in a clause: array of (k, cue, polarity, weight), k their order in the tables."""
+    tables = [(sign, k, p) for sign, table in ((-1, NEGATIVE), (1, POSITIVE)) for k, p in table.items()]
+    entry = lambda i, sign, k: F.struct(F.lit(i).alias("k"), F.lit(f"hard:{k}").alias("cue"), F.lit(sign).alias("polarity"), F.lit(4).alias("weight"))
+    found = [F.when(clause.rlike(ascii_edges(p)), entry(i, sign, k)) for i, (sign, k, p) in enumerate(tables, 1)]
     hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return rows.where(~F.col("interrogative")).withColumn("h", F.explode(hits)).select(*rows.columns, "h.cue", "h.polarity")
-
+    return F.when(clause.rlike(GATE), hits).otherwise(F.array().cast("array<struct<k:int,cue:string,polarity:int,weight:int>>"))
 
-def anchor_hits(clause: str) -> list[tuple[str, int, int]]:
-    """(cue, polarity, weight): longest anchors first, each word used once, polarity flipped by a negation near by."""
-    words = _PUNCTUATED.findall(clause.lower())
-    used, out = [False] * len(words), []
 
-    def negated(at: int, step: int) -> bool:
-        for k in range(WINDOW):
-            i = at + step * k
-            if not 0 <= i < len(words) or words[i] in BARRIERS:
-                return False
-            if words[i].replace("’", "'") in NEGATIONS:
-                return True
-        return False
-
-    for anchor, weight, sign in _ORDERED:
-        n = len(anchor)
-        for i in range(len(words) - n + 1):
-            if words[i : i + n] == anchor and not any(used[i : i + n]):
-                used[i : i + n] = [True] * n
-                flip = negated(i - 1, -1) or negated(i + n, 1)
-                out.append(("-".join(anchor) + (":negated" if flip else ""), -sign if flip else sign, weight))
-    return out
+def hard_hits(rows: DataFrame) -> DataFrame:
+    """The constructions in each clause that is no question: adds `cue` and `polarity`."""
+    return rows.where(~F.col("interrogative")).withColumn("h", F.explode(constructions(F.col("clause")))).select(*rows.columns, "h.cue", "h.polarity")
+
+
+def anchor_hits(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Anchors in many lists of words: list, place in it, order of the anchor, cue, polarity, weight of each hit.
+
+    Words are compared as codes over the flat array of all lists, longest anchors first, each word used once. A negation
+    turns the polarity if it is within `WINDOW` words on either side and no barrier stands between: the last (next)
+    negation and barrier of every place are running maxima (minima).
+    """
+    coded = words.flatten().dictionary_encode()
+    known = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+    code = coded.indices.to_numpy().astype(np.int64)
+    n, sizes = len(code), pc.list_value_length(words).fill_null(0).to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(n)
+    kind = np.zeros(len(known) + 1, np.int8)
+    kind[[i for w, i in known.items() if w.replace("’", "'") in NEGATIONS]] = 1
+    kind[[i for w, i in known.items() if w in BARRIERS]] = 2
+    kind = kind[code]
+    last = lambda k: np.maximum.accumulate(np.where(kind == k, place, -1))
+    next_ = lambda k: np.minimum.accumulate(np.where(kind == k, place, n)[::-1])[::-1]
+    last_no, last_bar, next_no, next_bar = (f(k) if n else place for f in (last, next_) for k in (1, 2))
+    used, found = np.zeros(n, bool), []
+    for order, (anchor, weight, sign) in enumerate(_ORDERED):
+        codes = [known.get(w, -1) for w in anchor]
+        m = len(anchor)
+        if n < m or -1 in codes:
+            continue
+        at = np.flatnonzero(np.logical_and.reduce([(code[k : n - m + 1 + k] == c) & ~used[k : n - m + 1 + k] for k, c in enumerate(codes)]))
+        at = at[of[at] == of[at + m - 1]]
+        used[(at[:, None] + np.arange(m)).ravel()] = True
+        before, after = at - 1, at + m
+        left = np.where(before >= starts[of[at]], before, 0)
+        left = (before >= starts[of[at]]) & (last_no[left] > last_bar[left]) & (last_no[left] > before - WINDOW) & (last_no[left] >= starts[of[at]])
+        ends = (starts + sizes)[of[at]]
+        right = np.where(after < ends, after, n - 1)
+        right = (after < ends) & (next_no[right] < next_bar[right]) & (next_no[right] < after + WINDOW) & (next_no[right] < ends)
+        flip = left | right
+        found.append((of[at], at - starts[of[at]], np.full(len(at), order), np.where(flip, "-".join(anchor) + ":negated", "-".join(anchor)), np.where(flip, -sign, sign), np.full(len(at), weight)))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none, [], none, none
+    lists, places, orders, cues, signs, weights = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.lexsort((places, orders, lists))
+    return lists[by], places[by], orders[by], cues[by].tolist(), signs[by], weights[by]
+
+
+_SOFT = pa.list_(pa.struct([("k", pa.int32()), ("cue", pa.string()), ("polarity", pa.int32()), ("weight", pa.int32())]))
+
+
+def _with_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each row's `hits` those of the anchors in `words`; k goes on behind the constructions."""
+    first = len(NEGATIVE) + len(POSITIVE) + 1
+    for batch in batches:
+        lists, _, _, cues, signs, weights = anchor_hits(batch.column(batch.schema.get_field_index("words")))
+        counts = np.bincount(lists, minlength=batch.num_rows)
+        offsets = np.r_[0, np.cumsum(counts)]
+        k = first + np.arange(len(lists)) - offsets[lists]
+        entries = pa.StructArray.from_arrays([pa.array(k, pa.int32()), pa.array(cues, pa.string()), pa.array(signs, pa.int32()), pa.array(weights, pa.int32())], fields=list(_SOFT.value_type))
+        soft = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [soft], names=[*batch.schema.names[:-1], "soft"])
+
+
+def hits(postings: DataFrame) -> DataFrame:
+    """(posting_id, sentence_no, clause_no, k, clause, cue, polarity, weight) of every cue in clauses that are no questions."""
+    found = clauses(postings).where("not interrogative")
+    rows = found.select("posting_id", "sentence_no", "clause_no", "clause", constructions(F.col("clause")).alias("hard"), tokens(F.col("clause")).alias("words"))
+    kind = rows.schema["posting_id"].dataType.simpleString()
+    entry = "array<struct<k:int,cue:string,polarity:int,weight:int>>"
+    both = rows.mapInArrow(_with_anchors, f"posting_id {kind}, sentence_no int, clause_no int, clause string, hard {entry}, soft {entry}")
+    return both.select("posting_id", "sentence_no", "clause_no", "clause", F.explode(F.concat("hard", "soft")).alias("h")).select("posting_id", "sentence_no", "clause_no", "h.k", "clause", "h.cue", "h.polarity", "h.weight")
 
 
 def signals(postings: DataFrame) -> DataFrame:
-    """(posting_id, polarity, weight, evidence, cues): the heaviest cues decide, a tie is negative, nothing is `none`."""
-
-    def anchors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [(r.posting_id, r.sentence_no, r.clause_no, 100 + k, r.clause, *h) for r in pdf.itertuples() for k, h in enumerate(anchor_hits(r.clause))]
-            yield pd.DataFrame(rows, columns=["posting_id", "sentence_no", "clause_no", "k", "clause", "cue", "polarity", "weight"])
+    """(posting_id, polarity, weight, evidence, cues): the heaviest cues decide, a tie is negative, nothing is `none`.
 
-    found = clauses(postings).where("not interrogative")
-    schema = "posting_id long, sentence_no int, clause_no int, k int, clause string, cue string, polarity int, weight int"
-    soft = found.withColumn("posting_id", F.col("posting_id").cast("long")).mapInPandas(anchors, schema)
-    order = [f"hard:{k}" for t in (NEGATIVE, POSITIVE) for k in t]
-    hard = hard_hits(found).select(F.col("posting_id").cast("long").alias("posting_id"), "sentence_no", "clause_no", (F.array_position(F.lit(order), F.col("cue"))).cast("int").alias("k"), "clause", "cue", "polarity", F.lit(4).alias("weight"))
-    hits = F.sort_array(F.collect_list(F.struct("sentence_no", "clause_no", "k", "clause", "cue", "polarity", "weight")))
-    each = hard.unionByName(soft).groupBy("posting_id").agg(hits.alias("h"), F.max("weight").alias("weight"))
+    posting_id may be of any type; repeated rows of an id are one posting.
+    """
+    entry = F.sort_array(F.collect_set(F.struct("sentence_no", "clause_no", "k", "clause", "cue", "polarity", "weight")))
+    each = hits(postings).groupBy(F.col("posting_id").alias("_id")).agg(entry.alias("h"), F.max("weight").alias("weight"))
     decisive = F.filter("h", lambda x: x["weight"] == F.col("weight"))
     each = each.withColumn("sign", F.when(F.exists(decisive, lambda x: x["polarity"] < 0), -1).otherwise(1))
     agreeing = F.filter("h", lambda x: x["polarity"] == F.col("sign"))
-    each = each.select("posting_id", F.when(F.col("sign") < 0, "negative").otherwise("positive").alias("polarity"), "weight", F.slice(F.array_distinct(agreeing["clause"]), 1, 3).alias("evidence"), F.array_distinct(agreeing["cue"]).alias("cues"))
-    rows = postings.select(F.col("posting_id").cast("long").alias("posting_id")).join(each, "posting_id", "left")
+    each = each.select("_id", F.when(F.col("sign") < 0, "negative").otherwise("positive").alias("polarity"), "weight", F.slice(F.array_distinct(agreeing["clause"]), 1, 3).alias("evidence"), F.array_distinct(agreeing["cue"]).alias("cues"))
+    asked = postings.select("posting_id").distinct()
+    rows = asked.join(each, asked["posting_id"].eqNullSafe(each["_id"]), "left")
     empty = F.array().cast("array<string>")
     return rows.select("posting_id", F.coalesce("polarity", F.lit("none")).alias("polarity"), F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("evidence", empty).alias("evidence"), F.coalesce("cues", empty).alias("cues"))
+
+
+def shown(histories: DataFrame, signal: DataFrame) -> DataFrame:
+    """(posting_id, kind, shown): a posting that refuses is shown as such, whatever its employer's history is."""
+    rows = histories.select("posting_id", "kind").join(signal.select("posting_id", "polarity"), "posting_id", "left")
+    return rows.select("posting_id", "kind", F.when(F.col("polarity") == "negative", "posting_negative").otherwise(F.col("kind")).alias("shown"))
