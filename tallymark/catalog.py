@@ -429,17 +429,17 @@ def page_types(rows, _):
 
 _FILLER = "We build things and look for people who like to build them with us. "
 PAGES = f"""select page_id, url, concat(case when page_id % 3 = 0 then concat('<div class="job-details-jobs-unified-top-card__container--two-pane"><div class="job-details-jobs-unified-top-card__job-title"><h1>Engineer ', page_id,
- '</h1></div><div class="job-details-jobs-unified-top-card__company-name"><a href="/company/acme-', page_id, '/life/">Acme ', page_id, ' Acme ', page_id, '</a></div><div class="job-details-jobs-unified-top-card__primary-description-container"> Austin, TX · 2 days ago</div></div>
+ '</h1></div><div class="job-details-jobs-unified-top-card__company-name"><a href="/company/rail-', page_id, '/life/">Rail ', page_id, ' Rail ', page_id, '</a></div><div class="job-details-jobs-unified-top-card__primary-description-container"> Austin, TX · 2 days ago</div></div>
  <div class="org-top-card"><div class="org-top-card-summary__title">Org  ', page_id, '</div><div class="org-top-card-primary-actions"><a href="https://www.linkedin.com/redir?url=https%3A%2F%2Fwww.org', page_id, '.example.com%2F">site</a><a href="http://org', page_id, '.example.com/x">site</a></div></div>
- <div class="jobs-description__content"><p>We are', chr(10), 'hiring.</p><ul><li>Go &amp; SQL</li><li>Visa sponsorship available</li></ul><script>var a = 1</script></div>')
+ <div class="jobs-description__content"><p>Mind the', chr(10), 'gap.</p><ul><li>Tea &amp; rails</li><li>Night trains too</li></ul><script>var a = 1</script></div>')
  when page_id % 3 = 1 then concat('<aside><a href="/company/other/">Other</a></aside><main><div><h1 class="x1">Lead ', page_id, '</h1><a href="/company/firm-', page_id, '"><img></a><a href="/company/firm-', page_id, '/?trk=x">Firm ', page_id, '</a></div><div class="x2"><p>', repeat('{_FILLER}', 8), '</p></div></main>')
  else '' end, html) as html from ({URLS}) u join (select page_id as id, html from pages) p on id = page_id"""
 _PAGE = f"select *, page_id % 3 as t, regexp_matches(url, '/company/') as firm, concat('firm-', page_id) as own from ({URLS}) u where url not like '%/feed/'"
 
 
-@query(PAGES, f"""select page_id, 'linkedin' as board, case when firm then 'company' else 'job_posting' end as page_type, case when firm and t = 0 then concat('Org ', page_id) when t = 0 then concat('Acme ', page_id) else concat('Firm ', page_id) end as company,
- case when t = 0 and not firm then concat('acme-', page_id) else own end as slug, case when not firm then concat(case t when 0 then 'Engineer ' else 'Lead ' end, page_id) end as title,
- case when not firm then case t when 0 then concat('We are hiring.', chr(10), 'Go & SQL', chr(10), 'Visa sponsorship available') else trim(repeat('{_FILLER}', 8)) end end as description, case when not firm and t = 0 then 'US' end as country,
+@query(PAGES, f"""select page_id, 'linkedin' as board, case when firm then 'company' else 'job_posting' end as page_type, case when firm and t = 0 then concat('Org ', page_id) when t = 0 then concat('Rail ', page_id) else concat('Firm ', page_id) end as company,
+ case when t = 0 and not firm then concat('rail-', page_id) else own end as slug, case when not firm then concat(case t when 0 then 'Engineer ' else 'Lead ' end, page_id) end as title,
+ case when not firm then case t when 0 then concat('Mind the gap.', chr(10), 'Tea & rails', chr(10), 'Night trains too') else trim(repeat('{_FILLER}', 8)) end end as description, case when not firm and t = 0 then 'US' end as country,
  case when firm and t = 0 then concat('org', page_id, '.example.com') end as website, case when firm then concat('linkedin:company:', own) else concat('linkedin:job:', page_id) end as key from ({_PAGE}) p where firm or t < 2""")
 def page_contexts(rows, _):
     return pages.contexts(rows, "page_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -18,29 +19,60 @@ STAFFING = ["staffing", "staffing solutions", "consultancy", "consultants", "con
 BOARD_NOISE = r"(?i)\s*[|\-–—]\s*(?:careers?|jobs?|hiring|we[' ]?re hiring|official)\s*$"
 
 
-def _fold_table() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility decomposition without marks is one character, and those where it is more."""
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """What each character is in compatibility form without its combining marks, where that differs: one or no character,
+    and several. Hangul syllables follow a rule instead."""
     one, many = {}, {}
-    for point in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2100, 0x2150), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+    for point in range(0x80, sys.maxunicode + 1):
         c = chr(point)
+        if 0xAC00 <= point <= 0xD7A3 or unicodedata.category(c) in ("Cn", "Co", "Cs"):
+            continue
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain != c and len(plain) == 1:
-            one[c] = plain
-        elif plain != c and plain.strip():
-            many[c] = plain
-    return "".join(one), "".join(one.values()), many
+        if plain != c:
+            (one if len(plain) < 2 else many)[c] = plain
+    return one, many
 
 
-_FROM, _TO, _MANY = _fold_table()
+_ONE, _MANY = _decompositions()
+# translate() drops the characters that the second string is too short for
+_FROM = "".join(sorted(_ONE, key=lambda c: not _ONE[c]))
+_TO = "".join(_ONE[c] for c in _FROM)
+
+
+def _class(characters) -> str:
+    """A pattern's class of characters, as ranges of code points."""
+    ranges: list[list[int]] = []
+    for point in sorted(map(ord, characters)):
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+_SEVERAL = _class(_MANY)
+# fixed values: Hangul syllables are leads, vowels and tails in a regular table
+_LEADS, _VOWELS, _TAILS = ("".join(chr(first + i) for i in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+def _expanded(character: Column) -> Column:
+    """One character that stands for several."""
+    at = F.ascii(character) - 0xAC00
+    tail = F.when(at % 28 > 0, F.substr(F.lit(_TAILS), (at % 28).cast("int"), F.lit(1))).otherwise("")
+    syllable = F.concat(F.substr(F.lit(_LEADS), F.floor(at / 588).cast("int") + 1, F.lit(1)), F.substr(F.lit(_VOWELS), F.floor(at % 588 / 28).cast("int") + 1, F.lit(1)), tail)
+    table = F.map_from_arrays(F.lit(list(_MANY)), F.lit(list(_MANY.values())))
+    return F.when(character.between("\uac00", "\ud7a3"), syllable).otherwise(F.coalesce(F.element_at(table, character), character))
 
 
 def fold_accents(c: Column) -> Column:
-    """Accents and compatibility forms of Latin script; free combining marks go too."""
-    out = F.translate(c, _FROM, _TO)
-    for k, v in _MANY.items():
-        if k in "ﬀﬁﬂﬃﬄ™ĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳ":
-            out = F.replace(out, F.lit(k), F.lit(v))
-    return F.regexp_replace(out, r"\p{M}+", "")
+    """The text in compatibility form (NFKD) without combining marks, for all scripts.
+
+    Most characters stand for one or none, which one table says; texts with a character that stands for several, or with
+    Hangul, are taken apart.
+    """
+    taken = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), _expanded), "")
+    whole = F.when(c.rlike(_SEVERAL + "|[\\x{ac00}-\\x{d7a3}]"), taken).otherwise(c)
+    return F.translate(whole, _FROM, _TO)
 
 
 def collapse_initialisms(c: Column) -> Column:
