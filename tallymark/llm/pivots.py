@@ -73,24 +73,38 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[picked]
 
 
-def _candidates(left: np.ndarray, right: np.ndarray, hot: np.ndarray, pivot: int, second: int) -> np.ndarray:
-    """Which pairs of permutations share SHARED pivots and are to be verified in the list of `pivot` (split by `second`)."""
-    shared = np.zeros((len(left), len(right)), dtype=np.int8)
-    small, large, other = (np.full(shared.shape, _NONE, dtype=np.int32) for _ in range(3))
-    for a in range(left.shape[1]):
-        mine = left[:, a, None]
-        for b in range(right.shape[1]):
-            same = mine == right[None, :, b]
-            shared += same
-            if a < PREFIX and b < PREFIX:
-                np.minimum(small, np.where(same & ~hot[mine], mine, _NONE), out=small)
-                np.minimum(large, np.where(same & hot[mine], mine, _NONE), out=large)
-            if second >= 0:
-                np.minimum(other, np.where(same & (mine != pivot), mine, _NONE), out=other)
-    some = shared >= min(SHARED, left.shape[1])
-    if second < 0:
-        return some & (small == pivot)
-    return some & (small == _NONE) & (large == pivot) & (other == second)
+def _candidates(left: np.ndarray, right: np.ndarray, hot: np.ndarray, pivot: int, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of permutations that share SHARED pivots and are to be verified in the list of `pivot` (split by `second`).
+
+    Shared pivots are counted by one product of memberships; only pairs that share enough are looked at one by one.
+    """
+    common = np.intersect1d(left, right)
+
+    def members(near: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(near), len(common)), dtype=np.float32)
+        at = np.minimum(np.searchsorted(common, near), len(common) - 1)
+        row, column = np.nonzero(common[at] == near)
+        out[row, at[row, column]] = 1
+        return out
+
+    if not len(common):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.nonzero(members(left) @ members(right).T >= min(SHARED, left.shape[1]))
+    kept = []
+    for k in range(0, len(a), CHUNK):
+        mine, theirs = left[a[k : k + CHUNK]], right[b[k : k + CHUNK]]
+        same = mine[:, :, None] == theirs[:, None, :]
+        early = same[:, :PREFIX, :PREFIX].any(axis=2)
+        first = mine[:, :PREFIX]
+        least = lambda some, of: np.where(some, of, _NONE).min(axis=1)
+        small = least(early & ~hot[first], first)
+        if second < 0:
+            kept.append(small == pivot)
+        else:
+            other = least(same.any(axis=2) & (mine != pivot), mine)
+            kept.append((small == _NONE) & (least(early & hot[first], first) == pivot) & (other == second))
+    some = np.concatenate(kept) if kept else np.zeros(0, bool)
+    return a[some], b[some]
 
 
 def _linked(batch: pa.Table, i: int, j: int, limit: float, hot: dict[int, np.ndarray]) -> pa.Table:
@@ -100,7 +114,7 @@ def _linked(batch: pa.Table, i: int, j: int, limit: float, hot: dict[int, np.nda
     n = len(ids)
     near = np.stack(batch.column("near").to_numpy())
     left, right = np.flatnonzero(sides == i), np.flatnonzero(sides == j)
-    a, b = np.nonzero(_candidates(near[left], near[right], hot[size], pivot, second))
+    a, b = _candidates(near[left], near[right], hot[size], pivot, second)
     a, b = left[a], right[b]
     if i == j:
         a, b = a[a < b], b[a < b]
