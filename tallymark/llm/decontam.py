@@ -1,7 +1,8 @@
 """Benchmark decontamination: training passages query a BM25 inverted index of test items by block-max WAND.
 
-A document's passages are windows of words, twice as long as the longest item and half overlapping, so an item that
-stands in a document stands whole in a passage. The index holds, per term, a posting list of (item, weight) in the order
+A document's passages are windows of words, twice as long as the longest item of an index and half overlapping, so an item
+that stands in a document stands whole in a passage. Items that are much longer than most have indexes of their own, so
+that a long one does not make every passage long. The index holds, per term, a posting list of (item, weight) in the order
 of items, the list's largest weight, and the largest weight in each block of BLOCK items. Weights of an item are divided by
 its own total, so scores lie in 0 to 1. A passage's cursors stand in the lists of its terms; the pivot is the first cursor at
 which the largest weights of the lists reach the least threshold. If the maxima of the pivot's block cannot reach the
@@ -32,7 +33,7 @@ import string
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ K1, B = 1.2, 0.75
 #: Items of a block. Terms in no more items than RARE are rare.
 BLOCK, RARE = 16, 32
 PART_BYTES = 64_000_000
+#: Items of more words than so many times the median have indexes of their own, by powers of it.
+FAR = 8
 #: Bytes of text that are looked up at once: bounds the arrays by word and by posting.
 SLICE = 2_000_000
 
@@ -247,22 +250,37 @@ class ItemIndex:
         return out
 
 
+def by_length(items: list[tuple[int, str]], statistics: Statistics, usual: float) -> Iterator[ItemIndex]:
+    """Indexes of items of like lengths; `usual` is the median of all items' words."""
+    groups: dict[int, list[tuple[int, str]]] = {}
+    for i, text in items:
+        n = len(tokens(text))
+        k = 0 if n <= FAR * usual else int(np.log(n / usual) / np.log(FAR))
+        groups.setdefault(k, []).append((i, text))
+    for k, group in sorted(groups.items()) or [(0, [])]:
+        # the most that an item of the group can have, so that passages do not depend on how items are dealt
+        yield ItemIndex(group, replace(statistics, longest=min(statistics.longest, int(usual * FAR ** (k + 1)) + 1)))
+
+
 def indexes(items: DataFrame, *, id_column: str = "item_id", text_column: str = "text") -> Iterator[ItemIndex]:
-    """The index of the items; several if their texts take more than PART_BYTES, with the statistics of all."""
+    """The indexes of the items, with the statistics of all: of each length, and more if their texts take over PART_BYTES."""
     rows = items.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).cast("string").alias("t")).where("t is not null and i is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if total <= PART_BYTES:
-        yield ItemIndex([(r.i, r.t) for r in rows.collect()])
+        held = sorted((r.i, r.t) for r in rows.collect())
+        words = [w for w in (tokens(t) for _, t in held) if w]
+        yield from by_length(held, Statistics.of(words), float(np.median([len(w) for w in words])) if words else 1.0)
         return
     n = -(-2 * total // PART_BYTES)
     words = F.filter(F.split(F.translate("t", string.ascii_uppercase, string.ascii_lowercase), r"[ \t-\r]+"), lambda w: w != "")
     rows = rows.withColumn("words", words).where(F.size("words") > 0).withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
-    count, mean, longest = rows.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    count, mean, longest, usual = rows.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words")), F.percentile_approx(F.size("words"), 0.5)).first()
     terms = rows.select("part", F.explode(F.array_distinct("words")).alias("w"))
     df = terms.groupBy("w").agg(F.count("*").alias("df"))
     for k in range(n):
         part = {r.w: r.df for r in df.join(terms.where(F.col("part") == k).select("w").distinct(), "w", "left_semi").collect()}  # the part's vocabulary
-        yield ItemIndex([(r.i, r.t) for r in rows.where(F.col("part") == k).select("i", "t").collect()], Statistics(count, float(mean), longest, part))
+        held = sorted((r.i, r.t) for r in rows.where(F.col("part") == k).select("i", "t").collect())
+        yield from by_length(held, Statistics(count, float(mean), longest, part), float(usual))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -43,7 +43,23 @@ TEMPLATES = {
     "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "AGPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "CC0": ["Licensed under CC0 1.0 Universal.", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+    # clauses that several licenses share with one family
+    "MIT warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "BSD warranty": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
+    "Apache warranty": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
 }
+# fixed values: short identifiers of licenses, each named in a line of its own
+IDENTIFIERS = {
+    "GPL": ["GPL-2.0-only", "GPL-2.0-or-later"], "LGPL": ["LGPL-2.1-only", "LGPL-2.1-or-later"], "AGPL": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "MIT": ["MIT"], "Apache": ["Apache-2.0"], "BSD": ["BSD-3-Clause"], "ISC": ["ISC"], "MPL": ["MPL-2.0"],
+    "EPL": ["EPL-2.0"], "Unlicense": ["Unlicense"], "CC0": ["CC0-1.0"], "Zlib": ["Zlib"], "CC-BY": ["CC-BY-4.0"], "CC-BY-SA": ["CC-BY-SA-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC-BY-ND": ["CC-BY-ND-4.0"], "CC-BY-NC-SA": ["CC-BY-NC-SA-4.0"], "CC-BY-NC-ND": ["CC-BY-NC-ND-4.0"],
+}
+for _name, _ids in IDENTIFIERS.items():
+    TEMPLATES[_name] = TEMPLATES[_name] + [f"{start} {i}" for i in _ids for start in ("SPDX-License-Identifier:", "Licensed under")]
 # fixed values: words that name a license, as normal() leaves them
 KEYWORDS = set("gnu lesser mit apache bsd mozilla by bync bysa bynd byncsa byncnd attribution attributionnoncommercial attributionsharealike attributionnoderivatives attributionnoncommercialsharealike attributionnoncommercialnoderivatives".split())
 _DROP, _DIGITS, _NUMBER, _WORD = re.compile(r"[^\w#]+|_+"), re.compile(r"[\d.]*\d"), re.compile(r"\d+(?:\.\d+)*"), re.compile(r"[^ \t-\r]+")
@@ -53,6 +69,9 @@ def normal(word: str) -> str:
     return _DROP.sub("", _DIGITS.sub("#", word.lower()))
 
 
+KEYWORDS |= {"affero", "eclipse", "cc#"} | {normal(i) for ids in IDENTIFIERS.values() for i in ids}
+
+
 def _hash(words: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A hash for the gram at each place."""
     n = len(words) - gram + 1

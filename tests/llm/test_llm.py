@@ -323,6 +323,13 @@ def test_license_candidates_against_full_alignment():
                 assert share > 0.1 and len(words) >= licenses.SHORT or [g[0] for g in got] == [name], (text, changed, got)
 
 
+def test_license_identifiers_and_clauses(spark):
+    texts = ["// SPDX-License-Identifier: MIT\nint main", "# SPDX-License-Identifier: Apache-2.0", "Photos: Licensed under CC-BY-SA-4.0, thanks.", "/* SPDX-License-Identifier: LGPL-2.1-or-later */", "SPDX-License-Identifier: Unlicense", "SPDX-License-Identifier: Foo", "Licensed under terms"]
+    texts += [licenses.TEMPLATES["MIT"][1] + ", and to permit persons to whom it is furnished to do so, subject to the following conditions: the above notice shall be included in all copies.\n" + licenses.TEMPLATES["MIT warranty"][0], "Anyone may copy. " + licenses.TEMPLATES["CC0"][1]]
+    rows = licenses.scan(frame(spark, texts)).collect()
+    assert sorted((r.doc_id, r.license, r.version) for r in rows) == [(0, "MIT", None), (1, "Apache", "2.0"), (2, "CC-BY-SA", "4.0"), (3, "LGPL", "2.1"), (4, "Unlicense", None), (7, "MIT", None), (7, "MIT warranty", None), (8, "CC0", None)]
+
+
 def test_pivot_recall(spark):
     rnd = np.random.default_rng(2)
     x = rnd.standard_normal((400, 16))
@@ -501,6 +508,17 @@ def test_indexes_of_parts_give_the_same_leaks(spark, monkeypatch):
     assert decontam.leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_long_items_leave_passages_short(spark):
+    rnd = random.Random(14)
+    some = lambda n: " ".join(f"w{rnd.randrange(4000)}" for _ in range(n))
+    items = [(i, some(rnd.randrange(8, 40))) for i in range(50)] + [(90, some(20_000)), (91, some(700))]
+    texts = [some(300) + " " + rnd.choice(items[:50])[1] + " " + some(300) for _ in range(40)] + [items[50][1], some(50) + " " + items[51][1], some(5000)]
+    found = list(decontam.by_length(items, decontam.Statistics.of([decontam.tokens(t) for _, t in items]), 24.0))
+    assert [(len(x.ids), x.longest) for x in found] == [(50, 193), (1, 1537), (1, 20_000)]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, t in enumerate(texts) for i, x in items if len(shingled(t, 5) & shingled(x, 5)) >= 0.8 * len(shingled(x, 5))}
+
+
 def test_chat(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo</s>\\"), (1, 0, "user", "hi"), (1, 1, "assistant", "other"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo</s>\\"), (3, 0, None, None), (4, 0, "system", "s|>\\\\"), (4, 1, "assistant", "▁ é")]
     where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

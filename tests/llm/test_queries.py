@@ -12,7 +12,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tallymark.llm import maincontent, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings conversations pages clicks".split()
+TABLES = "documents embeddings conversations pages clicks benchmark".split()
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,42 @@ def test_distinct_query(spark, duck):
         assert (r.n_union, r.n_both, r.n_only_a) == (len(x | y), len(x & y), len(x - y))
         for name, n in (("union", len(x | y)), ("both", len(x & y)), ("only_a", len(x - y))):
             assert abs(r["est_" + name] - n) <= r["err_" + name] <= 8 * r.est_union / 512**0.5 + 3
+
+
+def words_of(text):
+    import re
+
+    return [w for w in re.split(r"[ \t-\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+
+
+def test_leak_query(spark, duck):
+    """Every item against every document: four fifths of an item's shingles within a stretch of the document."""
+    items = {i: words_of(t) for i, t in duck.sql("select item_id, text from benchmark").fetchall() if words_of(t)}
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+    longest = max(map(len, items.values()))
+    want = set()
+    for doc, text in duck.sql("select doc_id, text from documents").fetchall():
+        words = words_of(text)
+        stretches = [words[k : k + 2 * longest] for k in range(0, max(1, len(words)), longest)]
+        for i, item in items.items():
+            n = min(5, len(item))
+            if any(len(grams(item, n) & grams(part, n)) >= 0.8 * len(grams(item, n)) - 1e-9 for part in stretches if len(part) >= n):
+                want.add((doc, i))
+    got = {(r.doc_id, r.item_id) for r in queries.op9_decontamination(spark, SF).collect()}
+    assert got == want and want
+
+
+def test_license_query(spark, duck):
+    """Rows of documents in which a short notice stands as it is."""
+    from tallymark.llm import licenses
+
+    notices = {name: texts[0] for name, texts in licenses.TEMPLATES.items() if len(texts[0].split()) < 20}
+    got = {}
+    for r in queries.op6_license_scan(spark, SF).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+        assert 0.8 <= r.coverage <= 1 and 0 <= r.first_char < r.end_char
+    texts = dict(duck.sql("select doc_id, coalesce(text, '') from documents").fetchall())
+    held = {(d, name) for d, t in texts.items() for name, notice in notices.items() if " ".join(notice.split()).lower() in " ".join(t.split()).lower()}
+    assert held and all(name in got.get(d, ()) for d, name in held)
+    plain = {d for d, t in texts.items() if "licen" not in t.lower()}
+    assert not plain & set(got)
