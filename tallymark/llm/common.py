@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,12 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. A folder of our own serves only where both are one process."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
         own = tempfile.mkdtemp(prefix="tallymark-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
