@@ -14,12 +14,14 @@ from tallymark.llm import decontam, langid, minhash, pieces
 from tallymark.llm.common import Scratch, table
 from tallymark.llm.queries import MODEL, vocabulary
 
-#: No stage is expressible in SQL; the tests hold the pipeline against plain versions of its stages.
+#: No stage is expressible in SQL. tests/llm/test_pipeline.py holds each stage, on what its predecessor kept, against a plain
+#: version: all pairs for near copies, all items in all texts for leaks, the library for ids; of the first stage, that
+#: exactly the documents go whose language is undetermined or whose score is under its limit.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is identified."""
+    """Drops documents in which no language is identified: without a letter, or with a score under 0.5."""
     model = langid.fit(docs, F.lit(True), pieces.codec(vocabulary(MODEL)).pieces)
     return langid.identified(docs, model)
 
