@@ -14,7 +14,7 @@ from .functions import links, names, places, skills
 from .functions.similarity import score_pairs, trigrams
 from .operators import coverage, facts, fit, gates, history, phrases, resolve, store
 from .sources import pages, registers
-from .streaming import usage
+from .streaming import caches, usage
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -451,14 +451,12 @@ def page_field_rates(rows, _):
     return pages.field_rates(rows)
 
 
-ROLES = [("recruiter", "technical recruiter"), ("em", "engineering manager"), ("director", "director of engineering"), ("peer", "senior software engineer")]  # fixed values
-_ROLES = " union all ".join(f"select '{a}' as role, '{b}' as keywords" for a, b in ROLES)
+_ROLES = " union all ".join(f"select '{a}' as role, '{b}' as keywords" for a, b in links.ROLES)
 
 
 @query(f"select s_suppkey, replace(lower(s_name), '#', '-') as slug from supplier", f"select s_suppkey, role, concat('https://www.linkedin.com/company/', replace(lower(s_name), '#', '-'), '/people/?keywords=', replace(keywords, ' ', '+')) as url from supplier, ({_ROLES}) r")
 def referral_links(rows, _):
-    roles = F.explode(F.array(*[F.struct(F.lit(a).alias("role"), F.lit(b).alias("keywords")) for a, b in ROLES]))
-    return rows.withColumn("r", roles).select("s_suppkey", "r.role", F.concat(F.lit("https://www.linkedin.com/company/"), F.url_encode("slug"), F.lit("/people/?keywords="), F.url_encode("r.keywords")).alias("url"))
+    return rows.select("s_suppkey", F.inline(links.referrals(F.col("slug"), F.lit(None).cast("string"))))
 
 
 _US = "select cast(1990 + s_suppkey % 30 as string) as `Fiscal Year`, s_name as `Employer (Petitioner) Name`, cast(s_suppkey % 4 as string) as `Initial Approval`, '-' as `Initial Denial`, '1,000' as `Continuing Approval`, cast(s_nationkey as string) as `Continuing Denial` from supplier"
@@ -530,12 +528,77 @@ def person_search(rows, _):
     return rows.select("c_custkey", links.person_search(F.col("c_name"), F.col("firm")).alias("url"))
 
 
-@query(URLS)
+_BODY = "'**Company name on the job board:** Firm ' || page_id || chr(10) || '**Name we matched it to:** FIRM ' || page_id || chr(10) || '**Page type:** ' || case when contains(url, '/company/') then 'company page' else 'job posting' end || chr(10) || chr(10) || '**What is wrong:**' || chr(10) || '<!-- e.g. this is a different company, or a subsidiary, or a staffing agency -->' || chr(10) || chr(10) || '---' || chr(10) || '_No page contents are included._'"
+# form encoding: a space is a plus, an asterisk stays, a tilde does not
+_FORM = "replace(replace(replace(url_encode({0}), '%20', '+'), '%2A', '*'), '~', '%7E')"
+_TITLE = "'Wrong match: \"Firm ' || page_id || '\" → \"FIRM ' || page_id || '\"'"
+
+
+@query(URLS, f"select page_id, 'https://github.com/owner/repo/issues/new?labels=entity-resolution&title=' || {_FORM.format(_TITLE)} || '&body=' || {_FORM.format(_BODY)} as url from ({URLS}) u")
 def mismatch_report(rows, _):
     name = F.concat(F.lit("Firm "), "page_id")
     return rows.select("page_id", links.mismatch_report("owner/repo", name, F.upper(name), F.col("url"), "_No page contents are included._").alias("url"))
 
 
+_GATED = "select doc_id, case doc_id % 3 when 0 then 'job_posting' when 1 then 'company' end as page_type, case when doc_id % 4 = 0 then '' else text end as text from documents"
+
+
+@query(_GATED, f"select doc_id, page_type = 'job_posting' and coalesce(text, '') <> '' as comparable, length(trim(coalesce(text, ''))) >= 50 as resume_ok from ({_GATED}) g")
+def text_gates(rows, _):
+    """Which pages are compared with a resume, and which texts are long enough to be one."""
+    return rows.select("doc_id", gates.comparable_page(F.col("page_type"), F.col("text")).alias("comparable"), gates.resume_long_enough(F.col("text")).alias("resume_ok"))
+
+
+_LOOKED = "select concat(event_type, ':', user_id % 20) as key, cast(ts as timestamp) as ts, event_id % 4 = 0 as `write`, cast(event_id as string) as payload, event_id from events"
+
+
+@query(_LOOKED, """with e as (select event_type || ':' || user_id % 20 as key, cast(ts as timestamp) as ts, event_id % 4 = 0 as w, cast(event_id as varchar) as payload from events),
+ j as (select e.key, e.ts, e.payload as id, arg_max(o.payload, (o.ts, o.payload)) as payload, max(o.ts) as stored from e left join e o on o.key = e.key and o.w and o.ts <= e.ts where not e.w group by 1, 2, 3)
+ select key, ts, count(*) as n, bool_or(coalesce(ts <= stored + interval 6 hour, false)) as hit, max(case when ts <= stored + interval 6 hour then payload end) as payload from j group by 1, 2""")
+def cache_lookups(rows, _):
+    """Each lookup's hit or miss in a cache whose entries live six hours. The same plan runs on a stream."""
+    told = caches.lookups(rows, ttl=21_600)
+    return told.groupBy("key", "ts").agg(F.count("*").alias("n"), F.bool_or("hit").alias("hit"), F.max("payload").alias("payload"))
+
+
+_RESULTS = "select cast(user_id as string) as session, event_id % 50 as generation, cast(ts as timestamp) as ts, cast(event_id as string) as payload from events"
+
+
+@query(_RESULTS, f"""select session, generation, ts, payload from (select *, max(generation) over (partition by session order by ts, generation, payload rows between unbounded preceding and 1 preceding) as newest
+ from ({_RESULTS.replace('string', 'varchar')}) r) x where newest is null or generation >= newest""")
+def current_results(rows, _):
+    """Results that are still wanted when they come: older generations of a session are dropped."""
+    return caches.current(rows)
+
+
+@query("select cast(user_id as string) as session, event_type as key, cast(ts as timestamp) as ts from events", "select cast(user_id as varchar) as session, event_type as key, min(cast(ts as timestamp)) as ts from events group by 1, 2")
+def rendered_once(rows, _):
+    return caches.rendered(rows)
+
+
+_STORED = """select c_custkey as resume_id, cast(case c_custkey % 5 when 0 then null else c_custkey % 5 - 1 end as int) as version, case c_custkey % 5 when 2 then concat('{"text":"', c_mktsegment, '","updatedAt":', c_custkey, '000}')
+ when 3 then case when c_custkey % 7 = 0 then '{broken' else concat('{"text":"', c_mktsegment, '","updatedAt":', c_custkey, '000,"embedding":[1.0,', c_custkey % 10, '.5]}') end else c_mktsegment end as payload from customer"""
+
+
+@query(_STORED, """select c_custkey as resume_id, c_mktsegment as text, case when c_custkey % 5 < 2 then 0 else c_custkey end as seconds, case when c_custkey % 5 = 3 then cast(1.0 + c_custkey % 10 + 0.5 as double) end as total from customer where c_custkey % 5 < 3 or c_custkey % 5 = 3 and c_custkey % 7 <> 0""")
+def migrated_resumes(rows, _):
+    """Resumes that older versions stored, as the current one reads them."""
+    sums = F.aggregate("vector", F.lit(0.0), lambda x, v: x + v)
+    return store.migrate_resumes(rows).select("resume_id", "text", F.unix_timestamp("updated_at").alias("seconds"), sums.alias("total"))
+
+
+@query(COMPANIES, f"select count(*) as n from ({COMPANIES}) c")
+def company_count(rows, _):
+    return rows.agg(F.count("*").alias("n"))
+
+
+@query(_SEEDS, f"select c.company_id, lower(s.alias) as normalized_alias, s.alias from ({_SEEDS}) s join ({COMPANIES}) c on c.country = s.country and c.normalized_name = regexp_replace(s.canonical_name, ' Inc\\.$', '') where c.company_id % 5 <> 0")
+def alias_seeds_new(rows, read):
+    """Curated aliases that a company does not have yet."""
+    held = read(COMPANIES).where("company_id % 5 = 0").select("company_id", F.concat(F.lit("alias of "), names.strip_suffixes(F.lower("normalized_name"))).alias("normalized_alias"))
+    return store.seeded(rows, read(COMPANIES), held).select("company_id", "normalized_alias", "alias")
+
+
 _TOWNS = "select concat('Org ', c_custkey % 50) as `Organisation Name`, concat('Worker (', case c_custkey % 50 % 2 when 0 then 'A' else 'B' end, ' rating)') as `Type & Rating`, case c_custkey % 50 % 3 when 0 then '' else concat('Town ', c_custkey % 50) end as `Town/City` from customer"
 
 
@@ -701,22 +764,15 @@ def migrated_caches(rows, _):
     return store.migrate(rows, 2)
 
 
-# fixed values: countries with a register, and their names
-COVERED = {"US": "United States", "GB": "United Kingdom", "CA": "Canada"}
-
-
 @query("select s_suppkey, case s_nationkey % 4 when 0 then 'US' when 1 then 'GB' when 2 then 'DE' else null end as code from supplier", "select s_suppkey, s_nationkey % 4 in (0, 1) as covered, case s_nationkey % 4 when 0 then 'United States' when 1 then 'United Kingdom' when 2 then 'DE' end as label from supplier")
 def country_labels(rows, _):
-    label = F.coalesce(*[F.when(F.col("code") == k, v) for k, v in COVERED.items()], F.col("code"))
-    return rows.select("s_suppkey", F.coalesce(F.col("code").isin(*COVERED), F.lit(False)).alias("covered"), label.alias("label"))
+    return rows.select("s_suppkey", places.has_register(F.col("code")).alias("covered"), places.country_label(F.col("code")).alias("label"))
 
 
 @query("select s_suppkey, concat('Firm ', s_suppkey, ' & Co') as firm from supplier", f"select s_suppkey, role, concat('https://www.linkedin.com/search/results/people/?keywords=Firm+', s_suppkey, '+%26+Co+', replace(keywords, ' ', '+')) as url from supplier, ({_ROLES}) r")
 def referral_links_unscoped(rows, _):
     """Without a company page: a search for the name and the role."""
-    roles = F.explode(F.array(*[F.struct(F.lit(a).alias("role"), F.lit(b).alias("keywords")) for a, b in ROLES]))
-    search = F.url_encode(F.concat_ws(" ", "firm", "r.keywords"))
-    return rows.withColumn("r", roles).select("s_suppkey", "r.role", F.concat(F.lit("https://www.linkedin.com/search/results/people/?keywords="), search).alias("url"))
+    return rows.select("s_suppkey", F.inline(links.referrals(F.lit(None).cast("string"), F.col("firm"))))
 
 
 @query(QUERIES, f"""with m as materialized (select * from {_MATCHES} x), l as ({LONG}) select u.query_id, l.country, cast(round(sum(case when metric = 'approvals' then value else 0 end), 2) as double) as approvals, count(distinct year) as n_years, count(distinct source_id) as n_sources

@@ -45,6 +45,17 @@ def person_search(person: Column, company: Column) -> Column:
     return F.concat(F.lit("https://www.linkedin.com/search/results/people/?keywords="), F.url_encode(F.concat_ws(" ", person, company)))
 
 
+# fixed values: whom to ask for a referral
+ROLES = [("recruiter", "technical recruiter"), ("em", "engineering manager"), ("director", "director of engineering"), ("peer", "senior software engineer")]
+
+
+def referrals(slug: Column, company: Column) -> Column:
+    """array of (role, url): among a company's people if its page is known, else a search for its name."""
+    people = lambda words: F.concat(F.lit("https://www.linkedin.com/company/"), F.url_encode(slug), F.lit("/people/?keywords="), F.url_encode(F.lit(words)))
+    known = F.coalesce(slug, F.lit("")) != ""
+    return F.array(*[F.struct(F.lit(role).alias("role"), F.when(known, people(words)).otherwise(person_search(company, F.lit(words))).alias("url")) for role, words in ROLES])
+
+
 def mismatch_report(repository: str, queried: Column, matched: Column, page: Column, footer: str) -> Column:
     """A pre-filled issue about a wrong match; `footer` is the last line of its body."""
     title = F.concat(F.lit('Wrong match: "'), queried, F.lit('" → "'), matched, F.lit('"'))

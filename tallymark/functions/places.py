@@ -21,3 +21,16 @@ def infer_country(c: Column) -> Column:
         out = F.when(hit, code) if out is None else out.when(hit, code)
     codes = F.filter(F.transform(F.split(F.upper(c), r"[,\s]+"), lambda t: F.when(t.isin(STATES), F.lit("US")).when(t.isin(PROVINCES), F.lit("CA"))), lambda x: x.isNotNull())
     return out.otherwise(F.try_element_at(codes, F.lit(1)))
+
+
+# fixed values: countries with a register, and their names
+COVERED = {"US": "United States", "GB": "United Kingdom", "CA": "Canada"}
+
+
+def has_register(code: Column) -> Column:
+    return F.coalesce(code.isin(*COVERED), F.lit(False))
+
+
+def country_label(code: Column) -> Column:
+    """A country's name, or its code where no register is held."""
+    return F.coalesce(*[F.when(code == k, v) for k, v in COVERED.items()], code)

@@ -133,9 +133,7 @@ class CompanyStore:
         companies = self.table("companies", now).select("company_id", "normalized_name", "country")
         found = named.join(companies, ["normalized_name", "country"])
         missing = named.join(companies, ["normalized_name", "country"], "left_anti").select("canonical_name", "alias", "country")
-        fresh = found.select("company_id", "alias", normalize(F.col("alias")).alias("normalized_alias"), F.lit("seed").alias("source"))
-        fresh = fresh.groupBy("company_id", "normalized_alias").agg(F.min("alias").alias("alias"), F.min("source").alias("source"))
-        fresh = fresh.join(self.table("aliases", now).select("company_id", "normalized_alias"), ["company_id", "normalized_alias"], "left_anti")
+        fresh = store.seeded(pairs, self.table("companies", now), self.table("aliases", now))
         self._write(fresh, run, "aliases")
         n = found.count()
         self._put(json.dumps(now | {"aliases": [*now["aliases"], f"data/{run}/aliases"], "version": now["version"] + 1}), "manifests", f"{now['version'] + 1:010d}.json")

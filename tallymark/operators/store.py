@@ -66,6 +66,15 @@ def new_aliases(records: DataFrame, companies: DataFrame, aliases: DataFrame) ->
     return fresh.select("company_id", "a.alias", "normalized_alias", "a.source")
 
 
+def seeded(pairs: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(company_id, alias, normalized_alias, source) of curated (canonical_name, alias, country) that are not there yet."""
+    named = pairs.withColumn("normalized_name", normalize(F.col("canonical_name")))
+    found = named.join(companies.select("company_id", "normalized_name", "country"), ["normalized_name", "country"])
+    first = found.withColumn("normalized_alias", normalize(F.col("alias"))).groupBy("company_id", "normalized_alias").agg(F.min("alias").alias("alias"))
+    fresh = first.join(aliases.select("company_id", "normalized_alias"), ["company_id", "normalized_alias"], "left_anti")
+    return fresh.select("company_id", "alias", "normalized_alias", F.lit("seed").alias("source"))
+
+
 def clean_domain(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.btrim(c)), r"^www\.", "")
 
