@@ -377,7 +377,7 @@ def test_lm_learns_from_all_rows(spark, monkeypatch):
 def test_lm_is_above_the_base_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     training = docs.doc_id % 5 != 1
-    model, counts = lm.fit(docs, training, MODEL, Scratch(spark, "t"))
+    model, counts = lm.fit(docs, training, MODEL, Scratch(spark, "t"), steps=1500)
     rows = [r for r in lm.score(docs, model, counts, Scratch(spark, "t")).collect() if r.doc_id % 5 == 1]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert model.mix[1] > 0.5  # the attention model carries the score
