@@ -13,6 +13,7 @@ from . import oracles
 from .functions import links, names, places, skills
 from .functions.similarity import score_pairs, trigrams
 from .operators import coverage, facts, fit, gates, history, phrases, resolve, store
+from .operators.spread import spread
 from .sources import pages, registers
 from .streaming import caches, usage
 
@@ -156,19 +157,20 @@ def resolve_full(rows, read):
 
 
 _SCORED = f"select distinct q.q, c.normalized_name as c from ({ASKED}) q join ({COMPANIES}) c on substr(q.q, 1, 3) = substr(c.normalized_name, 1, 3) where q.q <> ''"
-_NAMED = f"select distinct q.name, c.normalized_name as c from ({QUERIES}) q join ({COMPANIES}) c on substr(regexp_replace(lower(q.name), ' (limited|corp)$', ''), 1, 3) = substr(c.normalized_name, 1, 3)"
 
-
-@query(_NAMED, f"select q, c, round(score, 6) as score, method from {oracles.scores(_SCORED)} x")
-def scored_pairs(rows, _):
-    """Every distinct asked name with every company whose name begins alike."""
-    pairs = rows.select(names.normalize(F.col("name")).alias("q"), "c").where("q <> ''").distinct()
+@query(QUERIES, f"select q, c, round(score, 6) as score, method from {oracles.scores(_SCORED)} x")
+def scored_pairs(rows, read):
+    """Every distinct asked name with every company whose name begins alike. Both sides are distinct before they meet."""
+    asked = spread(rows.select("name").distinct()).select(names.normalize(F.col("name")).alias("q"), F.expr("substr(regexp_replace(lower(name), ' (limited|corp)$', ''), 1, 3)").alias("begins"))
+    held = read(COMPANIES).select(F.col("normalized_name").alias("c")).distinct()
+    pairs = asked.join(held, F.col("begins") == F.substring("c", 1, 3)).select("q", "c").where("q <> ''").distinct()
     return pairs.withColumn("s", score_pairs("q", "c")).select("q", "c", F.round("s.score", 6).alias("score"), "s.method")
 
 
 @query(QUERIES, f"select q.query_id, min(c.company_id) as company_id from ({QUERIES}) q join ({COMPANIES}) c on regexp_replace(lower(q.name), ' (limited|corp)$', '') = c.normalized_name group by 1")
 def resolve_exact(rows, read):
-    exact = rows.withColumn("normalized_name", names.normalize(F.col("name"))).join(read(COMPANIES).select("company_id", "normalized_name"), "normalized_name")
+    first = read(COMPANIES).groupBy("normalized_name").agg(F.min("company_id").alias("company_id"))
+    exact = rows.withColumn("normalized_name", names.normalize(F.col("name"))).join(first, "normalized_name")
     return exact.groupBy("query_id").agg(F.min("company_id").alias("company_id"))
 
 
