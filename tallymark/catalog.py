@@ -77,7 +77,7 @@ _MARKS = " or ".join(f"contains(normalized, '{m}')" for m in names.STAFFING)
 
 @query(NAMES, NORM.replace("string_agg(tok, case when one then '' else ' ' end order by pos)", "case when one then string_agg(tok, '' order by pos) else string_agg(tok, ' ' order by pos) end"))
 def normalize_names(rows, _):
-    return rows.select("id", names.normalize(F.col("name")).alias("normalized"))
+    return spread(rows).select("id", names.normalize(F.col("name")).alias("normalized"))
 
 
 @query(f"select id, lower(name) as name from ({NAMES}) n", f"select id, regexp_replace(lower(name), '^(\\S+(?:\\s\\S+)*?)(?:\\s(?:{_ALTERNATIVES}))+$', '\\1') as stripped from ({NAMES}) n")
@@ -87,12 +87,12 @@ def strip_suffixes(rows, _):
 
 @query(NAMES, f"select id, case when len(str_split(normalized, ' ')) >= 2 then array_to_string(list_transform(str_split(normalized, ' '), lambda t: t[1]), '') else '' end as acronym from ({ORACLES['normalize_names']}) z")
 def acronyms(rows, _):
-    return rows.select("id", names.acronym(names.normalize(F.col("name"))).alias("acronym"))
+    return spread(rows).select("id", names.acronym(names.normalize(F.col("name"))).alias("acronym"))
 
 
 @query(NAMES, f"select id, ({_MARKS}) as staffing from ({ORACLES['normalize_names']}) z")
 def staffing_flags(rows, _):
-    return rows.select("id", names.is_staffing(names.normalize(F.col("name"))).alias("staffing"))
+    return spread(rows).select("id", names.is_staffing(names.normalize(F.col("name"))).alias("staffing"))
 
 
 @query("select page_id, url from pages", r"select page_id, nullif(str_split(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://', ''), '^www\.', ''), '/')[1], '') as domain from pages")

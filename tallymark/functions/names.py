@@ -71,7 +71,8 @@ def fold_accents(c: Column) -> Column:
     Hangul, are taken apart.
     """
     taken = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), _expanded), "")
-    whole = F.when(c.rlike(_SEVERAL + "|[\\x{ac00}-\\x{d7a3}]"), taken).otherwise(c)
+    # the class has hundreds of ranges, so plain texts are told by one
+    whole = F.when(c.rlike(r"[^\x00-\x7f]") & c.rlike(_SEVERAL + "|[\\x{ac00}-\\x{d7a3}]"), taken).otherwise(c)
     return F.translate(whole, _FROM, _TO)
 
 
@@ -101,13 +102,13 @@ def words(normalized: Column) -> Column:
 
 
 def acronym(normalized: Column) -> Column:
-    """Initials of two or more words, else empty."""
-    w = words(normalized)
-    return F.when(F.size(w) >= 2, F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), "")).otherwise("")
+    """Initials of two or more words, else empty. One pattern, so that the name is worked out once."""
+    return F.regexp_replace(F.coalesce(normalized, F.lit("")), r"^[^ ]*\z|(?<=[^ ])[^ ]+| ", "")
 
 
 def is_staffing(normalized: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, STAFFING)), lambda m: F.contains(normalized, m))
+    """One pattern of all marks, so that the name is worked out once and not for each mark."""
+    return normalized.rlike("|".join(STAFFING))
 
 
 def clean_domain(c: Column) -> Column:

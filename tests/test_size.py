@@ -42,6 +42,17 @@ def same_firms(spark, n):
     return firms, given
 
 
+def test_names_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("A.B. Works Staffing Inc",), ("Solo",), ("",), (None,), ("Ünï Bank für Ärzte GmbH",)], "name string")
+    for f in (names.acronym, names.is_staffing):
+        df = rows.select(f(names.normalize(F.col("name"))).alias("x"))
+        assert plan(df).count("translate(") == 1
+    assert [r.x for r in rows.select(names.acronym(names.normalize(F.col("name"))).alias("x")).collect()] == ["aws", "", "", "", "ubfa"]
+    assert [r.x for r in rows.select(names.is_staffing(names.normalize(F.col("name"))).alias("x")).collect()] == [True, False, False, False, False]
+    two = spark.createDataFrame([("one",), ("a b",), ("\U00010400x \U00010401y",)], "n string").select(names.acronym(F.col("n")).alias("x"))
+    assert [r.x for r in two.collect()] == ["", "ab", "\U00010400\U00010401"]
+
+
 def test_records_do_not_meet_companies_one_by_one(spark):
     firms, given = same_firms(spark, 300)
     held = spark.createDataFrame([(7, "also")], "company_id long, normalized_alias string")
