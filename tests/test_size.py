@@ -53,6 +53,11 @@ def test_names_are_worked_out_once(spark):
     assert [r.x for r in two.collect()] == ["", "ab", "\U00010400\U00010401"]
 
 
+def test_names_are_normalised_on_all_cores(spark):
+    for name in ("acronyms", "staffing_flags"):
+        assert catalog.queries()[name](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_records_do_not_meet_companies_one_by_one(spark):
     firms, given = same_firms(spark, 300)
     held = spark.createDataFrame([(7, "also")], "company_id long, normalized_alias string")
