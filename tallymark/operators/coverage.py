@@ -122,7 +122,8 @@ def analyze(pairs: DataFrame, postings: DataFrame, resumes: DataFrame, lexicon:
     words = tokens(F.coalesce("text", F.lit("")))
     side = F.filter(F.transform("words", lambda w, i: F.when(F.get("words", i + 1).isNotNull(), F.concat_ws(" ", w, F.get("words", i + 1)))), lambda p: p.isNotNull())
     have = resumes.select("resume_id", F.lower(F.coalesce("text", F.lit(""))).alias("raw"), words.alias("words")).withColumn("side", side)
-    rows = pairs.join(asked, "posting_id", "left").join(have, "resume_id", "left")
+    # either side grows with its table, while the plan takes texts made from a narrow file for a few MB: neither is broadcast
+    rows = pairs.join(asked.hint("merge"), "posting_id", "left").join(have.hint("merge"), "resume_id", "left")
     covered = lambda e: F.coalesce(F.when(e["term"].contains(" "), F.array_contains("side", e["term"]) | F.contains("raw", e["term"])).otherwise(F.array_contains("words", e["term"])), F.lit(False))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, e: s + e["weight"])
     share = lambda w: F.when(F.col("total_weight") == 0, 0).otherwise(F.floor(w / F.col("total_weight") * 100 + 0.5)).cast("int")

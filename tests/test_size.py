@@ -1,10 +1,12 @@
 """What grows with the tables: rows that meet, rows that are shuffled or hashed, and how often a row's pattern is worked out."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallymark import catalog
 from tallymark.functions import names
 from tallymark.operators import coverage, resolve, store
+from tallymark.sources import pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +90,8 @@ def test_pairs_of_similar_names_are_not_shuffled(spark):
     assert n == 400 * 1500 and max(sent for _, _, sent in found) <= 10_000
     ranks = df.groupBy("query_id").agg(F.count_distinct("rank").alias("k"), F.max("rank").alias("last"), F.max(F.abs(F.col("rank") - F.col("target_id") - 1)).alias("off")).collect()
     assert len(ranks) == 400 and all((r.k, r.last, r.off) == (1500, 1500, 0) for r in ranks)
+
+
+def test_texts_are_not_broadcast(spark):
+    df = catalog.queries()["keyword_coverage"](spark, SF)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
