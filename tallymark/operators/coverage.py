@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skills
 from . import fit
+from .spread import spread
 
 # fixed values
 STOP = (
@@ -56,15 +57,23 @@ def candidate(word: Column) -> Column:
     return ~word.isin(_NONE)
 
 
+def _once(c: Column, f) -> Column:
+    """f of a column that is worked out once, however often f names it: a lambda's body repeats what it is given."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def phrases(words: Column) -> Column:
     """Candidate words, and pairs of candidates that stand side by side."""
     none = F.array().cast("array<string>")
 
-    def at(word: Column, i: Column) -> Column:
-        after = F.get(words, i + 1)
-        return F.when(candidate(word), F.concat(F.array(word), F.when(candidate(after), F.array(F.concat_ws(" ", word, after))).otherwise(none))).otherwise(none)
+    def pairs(words: Column) -> Column:
+        def at(word: Column, i: Column) -> Column:
+            after = F.get(words, i + 1)
+            return F.when(candidate(word), F.concat(F.array(word), F.when(candidate(after), F.array(F.concat_ws(" ", word, after))).otherwise(none))).otherwise(none)
 
-    return F.flatten(F.transform(words, at))
+        return F.flatten(F.transform(words, at))
+
+    return _once(words, pairs)
 
 
 CHUNK = r"[a-z0-9]+|[^a-z0-9]"
@@ -74,31 +83,34 @@ def known(line: Column, lexicon: list[str]) -> Column:
     """Lexicon terms whose first occurrence in the line stands alone.
 
     Such a term begins and ends between a word and something else. So the line is cut into words and single other
-    characters, and its runs of up to as many of those as the longest term has are looked up in the lexicon, one set of
-    literals; only what is found is then searched in the line. The plan does not grow with the lexicon.
+    characters, and its runs of up to as many of those as the longest term has, from where a term can begin, are looked up
+    in the lexicon, one set of literals; only what is found is then searched in the line. The plan does not grow with the lexicon.
     """
     if not lexicon:
         return F.array().cast("array<string>")
-    low = F.lower(line)
+    begins = sorted({chunks[0] for t in lexicon if (chunks := re.findall(CHUNK, t))})
     width = max(len(re.findall(CHUNK, t)) for t in lexicon)
 
     def runs(chunks: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(chunks))
+        at = F.filter(F.sequence(F.lit(1), F.size(chunks)), lambda i: F.get(chunks, i - 1).isin(begins))
         each = F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(width), F.size(chunks) - i + 1)), lambda n: F.array_join(F.slice(chunks, i, n), "")))
         return F.when(F.size(chunks) > 0, F.flatten(each)).otherwise(F.array().cast("array<string>"))
 
-    def alone(term: Column) -> Column:
+    def alone(low: Column, term: Column) -> Column:
         at = F.position(term, low)
         before, after = F.when(at > 1, F.substr(low, at - 1, F.lit(1))).otherwise(""), F.substr(low, at + F.length(term), F.lit(1))
         return (at > 0) & ~before.rlike("[a-z0-9]") & ~after.rlike("[a-z0-9]")
 
-    found = F.array_intersect(F.lit(sorted(set(lexicon))), runs(F.regexp_extract_all(low, F.lit(CHUNK), F.lit(0))))
-    return F.filter(found, alone)
+    def held(low: Column) -> Column:
+        found = F.array_intersect(F.lit(sorted(set(lexicon))), _once(F.regexp_extract_all(low, F.lit(CHUNK), F.lit(0)), runs))
+        return F.filter(found, lambda term: alone(low, term))
+
+    return _once(F.lower(line), held)
 
 
 def requirements(postings: DataFrame, lexicon: list[str] = skills.TERMS) -> DataFrame:
     """(posting_id, term, occurrences, in_requirements, evidence, weight, rank) of the heaviest terms of each posting."""
-    lines = fit.sections(postings)
+    lines = fit.sections(spread(postings.select("posting_id", "text"), "posting_id"))
     line, listed = F.col("line"), F.col("line").rlike(fit.BULLET) & F.col("in_requirements")
     framed = F.flatten(F.flatten(F.array(*[F.transform(F.regexp_extract_all(line, F.lit(f), F.lit(1)), lambda x: phrases(tokens(x))) for f in FRAMES])))
     pairs = F.when(listed, F.filter(phrases(tokens(line)), lambda p: p.contains(" "))).otherwise(F.array().cast("array<string>"))

@@ -92,6 +92,13 @@ def test_pairs_of_similar_names_are_not_shuffled(spark):
     assert len(ranks) == 400 and all((r.k, r.last, r.off) == (1500, 1500, 0) for r in ranks)
 
 
+def test_lines_are_taken_apart_once(spark):
+    line = spark.createDataFrame([("We use Python, C++ and machine learning",)], "line string")
+    known = line.select(coverage.known(F.col("line"), ["python", "c++", "machine learning"]).alias("x"))
+    assert plan(known).count("regexp_extract_all(") == 1 and sorted(known.first().x) == ["c++", "machine learning", "python"]
+    assert plan(line.select(coverage.phrases(coverage.tokens(F.col("line"))).alias("x"))).count("regexp_extract_all(") == 1
+
+
 def test_texts_are_not_broadcast(spark):
     df = catalog.queries()["keyword_coverage"](spark, SF)
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
