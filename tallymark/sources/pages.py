@@ -8,9 +8,10 @@ employer's name is not rendered yet and has no record.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from urllib.parse import parse_qs, urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,9 +147,19 @@ def read_page(html: str | None) -> tuple:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in FIELDS]))
-def fields(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(x) for x in html], columns=FIELDS, dtype=object)
+#: Pages that are read before their fields are handed on: a batch's documents are never all strings at once.
+READ = 64
+
+
+def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its document `html` replaced by the document's FIELDS."""
+    for b in batches:
+        at = b.schema.get_field_index("html")
+        rest = [i for i in range(b.num_columns) if i != at]
+        for first in range(0, b.num_rows, READ):
+            part = b.slice(first, READ)
+            read = zip(*(read_page(x.as_py()) for x in part.column(at)), strict=True)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *(pa.array(x, pa.string()) for x in read)], [*(b.schema.names[i] for i in rest), *(f"f_{name}" for name in FIELDS)])
 
 
 def contexts(pages: DataFrame, *keep: str) -> DataFrame:
@@ -156,7 +167,10 @@ def contexts(pages: DataFrame, *keep: str) -> DataFrame:
     company, slug, title, description, country, website and key. Null or odd addresses have no record; a null html is
     an empty page; repeated rows give repeated records."""
     claimed = pages.select(*keep, "url", "html", board(F.col("url")).alias("board"), page_type(F.col("url")).alias("page_type")).where("board is not null and page_type is not null")
-    read = claimed.select(*keep, "url", "board", "page_type", fields("html").alias("f"))
+    kind = claimed.drop("html").schema
+    for name in FIELDS:
+        kind = kind.add(f"f_{name}", T.StringType())
+    read = claimed.mapInArrow(fields, kind).withColumn("f", F.struct(*[F.col(f"f_{name}").alias(name) for name in FIELDS]))
     posting, of_path = F.col("page_type") == "job_posting", company_slug(F.col("url"))
     name = F.when(posting, F.col("f.company")).otherwise(F.coalesce("f.org", names.deslugify(of_path)))
     found = read.where(~posting | F.col("f.company").isNotNull())

@@ -102,3 +102,10 @@ def test_lines_are_taken_apart_once(spark):
 def test_texts_are_not_broadcast(spark):
     df = catalog.queries()["keyword_coverage"](spark, SF)
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_read_few_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["<h1>x</h1>", None] * 500)], ["id", "html"])
+    out = list(pages.fields(iter([batch])))
+    assert max(b.num_rows for b in out) <= 64 and [i for b in out for i in b.column("id").to_pylist()] == list(range(1000))
+    assert out[0].schema.names == ["id", *(f"f_{name}" for name in pages.FIELDS)] and out[0].column("f_title").to_pylist()[:2] == ["x", None]
