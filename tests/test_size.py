@@ -109,3 +109,8 @@ def test_pages_are_read_few_at_a_time():
     out = list(pages.fields(iter([batch])))
     assert max(b.num_rows for b in out) <= 64 and [i for b in out for i in b.column("id").to_pylist()] == list(range(1000))
     assert out[0].schema.names == ["id", *(f"f_{name}" for name in pages.FIELDS)] and out[0].column("f_title").to_pylist()[:2] == ["x", None]
+
+
+def test_asked_names_are_normalised_on_all_cores(spark):
+    asked = spark.createDataFrame([(1, "Acme Inc", None, None)], "query_id long, name string, country string, domain string").coalesce(1)
+    assert resolve._asked(asked).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
