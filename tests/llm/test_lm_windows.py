@@ -28,3 +28,25 @@ def test_every_window_is_read(monkeypatch):
     x = np.repeat(np.arange(400)[:, None], lm.SPAN, axis=1)
     net.train(x, x[:, lm.CONTEXT :] % 8, steps=5, batch=96)
     assert len(read) == 400
+
+
+def test_places_take_two_short_sums():
+    net, r = lm.Attention(191, inputs=300), np.random.default_rng(0)
+    x, y = r.integers(0, 301, (6, lm.SPAN)), r.integers(0, 191, (6, lm.STRIDE))
+    x[0, :5], y[0, -3:] = net.pad, -1
+    assert np.allclose(sum(np.exp(net.log_probs(x, np.full(y.shape, k))) for k in range(191)), 1, atol=1e-4)
+    assert max(net.p["U"].shape[1], net.p["W"].shape[2]) <= 2 * 191**0.5 + 1
+    slopes, read, of_read = net._slope(x, y)
+    slopes["E"] = np.zeros_like(net.p["E"])
+    slopes["E"][read] = of_read
+    loss = lambda: -net.log_probs(x, np.maximum(y, 0))[y >= 0].astype(float).mean()
+    for name, slope in slopes.items():  # against differences
+        at = np.unravel_index(np.abs(slope).argmax(), slope.shape)
+        was = net.p[name][at]
+        net.p[name][at] = was + 0.01
+        more = loss()
+        net.p[name][at] = was - 0.01
+        assert abs((more - loss()) / 0.02 / slope[at] - 1) < 0.05, name
+        net.p[name][at] = was
+    net.p["Q"] *= 1e4  # far out of range
+    assert np.isfinite(net.log_probs(x, np.maximum(y, 0))).all()
